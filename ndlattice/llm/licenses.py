@@ -27,42 +27,41 @@ from .common import chunks, record
 #: Fixed base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
-#: label, keyword, expression for the license's name; hand-written, matched in lower-cased text, spaces stand for any white space.
+#: label, words of which a text with the name has one, expression for the license's name; hand-written, matched in lower-cased text, spaces stand for any white space.
 NAMES = (
     ("mit", "mit", r"(?:the )?(?:expat|mit)(?:/x11)?(?: license)?"),
     ("x11", "x11", r"x11 license"),
     ("apache-2.0", "apache", r"(?:the )?apache(?: software)?(?: license)?,? ?(?:version |v)?2(?:\.0)?"),
     ("apache-1.1", "apache", r"(?:the )?apache(?: software)?(?: license)?,? ?(?:version |v)?1\.1"),
     ("apache", "apache", r"(?:the )?apache(?: software)? license"),
-    ("gpl-2.0", "g", r"(?:the )?(?:gnu )?(?:general public license|gpl),? ?(?:version |v)?2(?:\.0)?"),
-    ("gpl-3.0", "g", r"(?:the )?(?:gnu )?(?:general public license|gpl),? ?(?:version |v)?3(?:\.0)?"),
-    ("gpl", "g", r"(?:the )?(?:gnu )?(?:general public license|gpl)"),
-    ("lgpl-2.1", "l", r"(?:the )?(?:gnu )?(?:(?:lesser|library) general public license|lgpl),? ?(?:version |v)?2\.1"),
-    ("lgpl-3.0", "l", r"(?:the )?(?:gnu )?(?:lesser general public license|lgpl),? ?(?:version |v)?3(?:\.0)?"),
-    ("lgpl", "l", r"(?:the )?(?:gnu )?(?:lesser general public license|lgpl)"),
-    ("agpl-3.0", "a", r"(?:the )?(?:gnu )?(?:affero general public license|agpl),? ?(?:version |v)?3(?:\.0)?"),
-    ("agpl", "a", r"(?:the )?(?:gnu )?(?:affero general public license|agpl)"),
+    ("gpl-2.0", "general public|gpl", r"(?:the )?(?:gnu )?(?:general public license|gpl),? ?(?:version |v)?2(?:\.0)?"),
+    ("gpl-3.0", "general public|gpl", r"(?:the )?(?:gnu )?(?:general public license|gpl),? ?(?:version |v)?3(?:\.0)?"),
+    ("gpl", "general public|gpl", r"(?:the )?(?:gnu )?(?:general public license|gpl)"),
+    ("lgpl-2.1", "general public|lgpl", r"(?:the )?(?:gnu )?(?:(?:lesser|library) general public license|lgpl),? ?(?:version |v)?2\.1"),
+    ("lgpl-3.0", "lesser general|lgpl", r"(?:the )?(?:gnu )?(?:lesser general public license|lgpl),? ?(?:version |v)?3(?:\.0)?"),
+    ("lgpl", "lesser general|lgpl", r"(?:the )?(?:gnu )?(?:lesser general public license|lgpl)"),
+    ("agpl-3.0", "affero|agpl", r"(?:the )?(?:gnu )?(?:affero general public license|agpl),? ?(?:version |v)?3(?:\.0)?"),
+    ("agpl", "affero|agpl", r"(?:the )?(?:gnu )?(?:affero general public license|agpl)"),
     ("bsd-2-clause", "bsd", r"(?:the )?(?:bsd[- ]2[- ]clause|(?:simplified|2-clause) bsd)(?: license)?"),
     ("bsd-3-clause", "bsd", r"(?:the )?(?:bsd[- ]3[- ]clause|(?:new|modified|revised|3-clause) bsd)(?: license)?"),
     ("bsd", "bsd", r"(?:the )?bsd(?:-style)? license"),
-    ("mpl-2.0", "m", r"(?:the )?(?:mozilla public license|mpl),? ?(?:version |v)?2(?:\.0)?"),
-    ("mpl-1.1", "m", r"(?:the )?(?:mozilla public license|mpl),? ?(?:version |v)?1\.1"),
-    ("epl-2.0", "e", r"(?:the )?(?:eclipse public license|epl),? ?(?:version |v|- ?v ?)?2(?:\.0)?"),
-    ("epl-1.0", "e", r"(?:the )?(?:eclipse public license|epl),? ?(?:version |v|- ?v ?)?1(?:\.0)?"),
-    ("eupl-1.2", "eu", r"(?:the )?(?:european union public licen[cs]e|eupl),? ?(?:version |v\.? ?)?1\.2"),
-    ("cddl-1.0", "c", r"(?:the )?(?:common development and distribution license|cddl),? ?(?:version |v)?1(?:\.0)?"),
+    ("mpl-2.0", "mozilla|mpl", r"(?:the )?(?:mozilla public license|mpl),? ?(?:version |v)?2(?:\.0)?"),
+    ("mpl-1.1", "mozilla|mpl", r"(?:the )?(?:mozilla public license|mpl),? ?(?:version |v)?1\.1"),
+    ("epl-2.0", "eclipse|epl", r"(?:the )?(?:eclipse public license|epl),? ?(?:version |v|- ?v ?)?2(?:\.0)?"),
+    ("epl-1.0", "eclipse|epl", r"(?:the )?(?:eclipse public license|epl),? ?(?:version |v|- ?v ?)?1(?:\.0)?"),
+    ("eupl-1.2", "european union|eupl", r"(?:the )?(?:european union public licen[cs]e|eupl),? ?(?:version |v\.? ?)?1\.2"),
+    ("cddl-1.0", "common development|cddl", r"(?:the )?(?:common development and distribution license|cddl),? ?(?:version |v)?1(?:\.0)?"),
     ("isc", "isc", r"(?:the )?isc license"),
     ("zlib", "zlib", r"(?:the )?zlib(?:/libpng)? license"),
     ("boost-1.0", "boost", r"(?:the )?boost software license,? ?(?:version |v)?1\.0"),
     ("artistic-2.0", "artistic", r"(?:the )?artistic license,? ?(?:version |v)?2\.0"),
-    ("python-2.0", "python", r"(?:the )?(?:python software foundation|psf) license(?: version 2)?"),
+    ("python-2.0", "python|psf", r"(?:the )?(?:python software foundation|psf) license(?: version 2)?"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtf", r"(?:the )?(?:wtfpl|do what the fuck you want to public license)"),
-    ("cc0-1.0", "c", r"(?:cc0|creative commons zero)(?: ?v?1\.0)?(?: universal)?"),
-    *((f"cc-{kind}-{v}", "c", rf"(?:cc|creative commons)[- ]{kind}[- ]{re.escape(v)}(?: international)?") for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for v in ("2.0", "2.5", "3.0", "4.0")),
-    *((f"cc-{kind}", "c", rf"(?:cc|creative commons)[- ]{kind}") for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")),
+    ("wtfpl", "wtfpl|do what the", r"(?:the )?(?:wtfpl|do what the fuck you want to public license)"),
+    ("cc0-1.0", "cc0|creative commons", r"(?:cc0|creative commons zero)(?: ?v?1\.0)?(?: universal)?"),
+    *((f"cc-{kind}-{v}", "cc-by|cc by|commons by|commons-by", rf"(?:cc|creative commons)[- ]{kind}[- ]{re.escape(v)}(?: international)?") for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for v in ("2.0", "2.5", "3.0", "4.0")),
+    *((f"cc-{kind}", "cc-by|cc by|commons by|commons-by", rf"(?:cc|creative commons)[- ]{kind}") for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")),
 )
 #: kind of mention: expression around a name, keyword it must contain, priority, confidence.
 FRAMES = (
@@ -95,13 +94,14 @@ class Rule(NamedTuple):
     pattern: re.Pattern
     priority: int
     confidence: float
+    lone: bool
 
 
 def rules() -> list[Rule]:
     """Every name in every frame, and the lone mentions: some hundreds."""
     spaced = lambda x: re.compile(rf"(?<!\w){x.replace(' ?', chr(0)).replace(' ', r'\s+').replace(chr(0), r'\s*')}(?!\w)")
-    out = [Rule(label, word, spaced(frame.format(name=f"(?:{name})")), priority, confidence) for label, _, name in NAMES for _, frame, word, priority, confidence in FRAMES]
-    return out + [Rule(label, word, spaced(x), priority, confidence) for label, word, x, priority, confidence in LONE]
+    out = [Rule(label, word, spaced(frame.format(name=f"(?:{name})")), priority, confidence, False) for label, _, name in NAMES for _, frame, word, priority, confidence in FRAMES]
+    return out + [Rule(label, word, spaced(x), priority, confidence, True) for label, word, x, priority, confidence in LONE]
 
 
 class Rules:
@@ -109,7 +109,7 @@ class Rules:
 
     def __init__(self, ordered: list[Rule] | None = None):
         self.rules = ordered if ordered is not None else rules()
-        self.names = {label: word for label, word, _ in NAMES}
+        self.names = {label: words.split("|") for label, words, _ in NAMES}
         self.automaton = ahocorasick.Automaton()
         words: dict[str, list[int]] = {}
         for i, rule in enumerate(self.rules):
@@ -126,7 +126,8 @@ class Rules:
         wanted: set[int] = set()
         for _, own in self.automaton.iter(low):
             wanted.update(own)
-        found = [(m.start(), m.end(), i) for i in wanted if self.names.get(self.rules[i].label, "") in low for m in self.rules[i].pattern.finditer(low)]
+        told = {label for label, words in self.names.items() if any(w in low for w in words)}
+        found = [(m.start(), m.end(), i) for i in sorted(wanted) if self.rules[i].lone or self.rules[i].label in told for m in self.rules[i].pattern.finditer(low)]
         found.sort(key=lambda x: (x[0] - x[1], -self.rules[x[2]].priority, x[2]))
         kept: list[tuple[int, int, int]] = []
         for s, e, i in found:  # longest first, so that whatever overlaps a kept one is contained in it or shorter
@@ -135,6 +136,11 @@ class Rules:
         return [(s, e, self.rules[i]) for s, e, i in sorted(kept)]
 
 
+def lowered(text: str) -> str:
+    """A-Z in lower case, every other character as it is."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def words(low: str) -> list[str]:
     return _WORD.findall(low)
 
@@ -169,7 +175,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for part in chunks(batch, "text"):
                 out: dict[str, list] = {f.name: [] for f in schema}
                 for doc, text in zip(part["doc_id"], part["text"], strict=True):
-                    low = (text or "").translate(_LOWER)
+                    low = lowered(text or "")
                     found = words(low)
                     places = phrase_places(found) if "license" in low else []
                     more = known.detect(low)
