@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language_id, licenses, ngram_join, packing, quality, secrets, toxicity
+from . import decontamination, fingerprints, html_extraction, language_id, licenses, ngram_join, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op4_fingerprints, op5_ngram_join, op6_language_id, op7_best_fit_packing, op8_secret_scan, op9_license_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_html_extraction, op4_fingerprints, op5_ngram_join, op6_language_id, op7_best_fit_packing, op8_secret_scan, op9_license_scan, op10_toxicity)}
 ORACLES: dict[str, str] = {}
