@@ -413,7 +413,7 @@ def arctanh(a: Value) -> Column:
 def arctan2(y: Value, x: Value) -> Column:
     """Keeps the sign of a zero y."""
     y, x = real(y), real(x)
-    return F.when((y == 0) & signbit(y), F.when(signbit(x), -F.pi()).otherwise(F.lit(-0.0))).when((y == 0) & (x == 0) & signbit(x), F.pi()).otherwise(F.atan2(y, x))
+    return F.when(F.isnan(x), x).when((y == 0) & signbit(y), F.when(signbit(x), -F.pi()).otherwise(F.lit(-0.0))).when((y == 0) & (x == 0) & signbit(x), F.pi()).otherwise(F.atan2(y, x))
 
 
 def hypot(a: Value, b: Value) -> Column:

@@ -9,17 +9,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .elementwise import INF, NAN, Value, real
 
 
 def vector_udf(f: Callable[..., np.ndarray]) -> Callable[..., Column]:
     """A Column function from one over float arrays."""
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def one(x: pd.Series) -> pd.Series:
         return pd.Series(f(x.to_numpy(float)))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def two(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(f(x.to_numpy(float), y.to_numpy(float)))
 

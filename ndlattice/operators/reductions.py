@@ -158,7 +158,7 @@ def agg_nanmedian(v: Column) -> Column:
 def reduce(a: NdFrame, axis: int | Sequence[int] | None, f: Callable[..., Column], dtype: str | None = None, keepdims: bool = False, place: bool = False) -> NdFrame:
     """One aggregate over the given axes; place also hands it the position along them."""
     gone = list(range(a.ndim)) if axis is None else sorted({checked_axis(x, a.ndim) for x in ([axis] if isinstance(axis, int) else axis)})
-    if place and any(a.shape[k] == 0 for k in gone):
+    if place and 0 in [a.shape[k] for k in gone]:
         raise ValueError("an empty sequence has no extremum")
     keep = [k for k in range(a.ndim) if k not in gone]
     at = a.flat() if axis is None else F.col(f"i{gone[0]}") if gone else F.lit(0)

@@ -113,7 +113,7 @@ def digitize(value: Column, bins: Sequence[float], right: bool = False) -> Colum
         raise ValueError("bins must rise or fall")
     if up:
         return place_in(value, bins, "left" if right else "right")
-    return F.lit(len(bins)).cast("long") - place_in(value, bins[::-1], "right" if right else "left")
+    return F.lit(len(bins)).cast("long") - place_in(value, bins[::-1], "left" if right else "right")
 
 
 def interp(value: Column, xp: Sequence[float], fp: Sequence[float], left: float | None = None, right: float | None = None) -> Column:
