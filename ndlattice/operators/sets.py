@@ -28,8 +28,8 @@ def unique(df: DataFrame, value: Column, place: Column | None = None) -> DataFra
 def unique_inverse(df: DataFrame, value: Column, name: str = "inverse") -> DataFrame:
     """df with each row's place among the sorted distinct values."""
     rows = df.withColumn("__v", value)
-    ranks = positions(rows.select("__v").distinct(), F.col("__v"), name=name)
-    return rows.join(ranks, F.col("__v").eqNullSafe(ranks["__v"])).drop("__v")
+    ranks = positions(rows.select(F.col("__v").alias("__u")).distinct(), F.col("__u"), name=name)
+    return rows.join(ranks, F.col("__v").eqNullSafe(F.col("__u"))).drop("__v", "__u")
 
 
 def intersect1d(a: DataFrame, va: Column, b: DataFrame, vb: Column) -> DataFrame:

@@ -103,7 +103,7 @@ def sales_report(spark, sf):
 rowwise("add_subtract_multiply", "lineitem", KEY, _d("s", lambda: E.add(c("l_quantity"), c("l_tax")), "l_quantity + l_tax"), _d("d", lambda: E.subtract(c("l_extendedprice"), c("l_tax")), "l_extendedprice - l_tax"), _d("m", lambda: E.multiply(c("l_extendedprice"), c("l_quantity")), "l_extendedprice * l_quantity"))
 rowwise("divide_ieee", "lineitem", KEY, _d("q", lambda: E.nan_to_num(E.divide(c("l_tax"), c("l_discount")), -1, -2, -3), "CASE WHEN l_discount = 0 THEN CASE WHEN l_tax = 0 THEN -1 ELSE -2 END ELSE l_tax / l_discount END"))
 rowwise("floor_divide", "customer", CKEY, _d("f", lambda: E.floor_divide(c("c_acctbal"), F.lit(-300.0)), "floor(c_acctbal / -300.0)"), _i("i", lambda: E.int_floor_divide(c("c_custkey") - 700, F.lit(7)), "floor((c_custkey - 700) / 7.0)"), _i("z", lambda: E.int_floor_divide(c("c_custkey"), F.lit(0)), "0"))
-rowwise("mod_remainder", "customer", CKEY, _d("m", lambda: E.mod(c("c_acctbal"), F.lit(97.0)), "CASE WHEN fmod(c_acctbal, 97.0) < 0 THEN fmod(c_acctbal, 97.0) + 97.0 ELSE fmod(c_acctbal, 97.0) END"), _d("f", lambda: E.fmod(c("c_acctbal"), F.lit(97.0)), "fmod(c_acctbal, 97.0)"), _i("i", lambda: E.int_mod(c("c_custkey"), F.lit(-7)), "CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_custkey % 7 - 7 END"))
+rowwise("mod_remainder", "customer", CKEY, _d("m", lambda: E.mod(c("c_acctbal"), F.lit(97.0)), "c_acctbal - 97.0 * floor(c_acctbal / 97.0)"), _d("f", lambda: E.fmod(c("c_acctbal"), F.lit(97.0)), "c_acctbal - 97.0 * trunc(c_acctbal / 97.0)"), _i("i", lambda: E.int_mod(c("c_custkey"), F.lit(-7)), "CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_custkey % 7 - 7 END"))
 rowwise("divmod", "customer", CKEY, _d("quotient", lambda: E.divmod_(c("c_acctbal"), F.lit(97.0))["quotient"], "floor(c_acctbal / 97.0)"), _d("remainder", lambda: E.divmod_(c("c_acctbal"), F.lit(97.0))["remainder"], "c_acctbal - 97.0 * floor(c_acctbal / 97.0)"))
 rowwise("power", "lineitem", KEY, _d("p", lambda: E.power(c("l_quantity"), 1.5), "pow(l_quantity, 1.5)"), _i("i", lambda: E.int_power(c("l_linenumber"), 5), "CAST(pow(l_linenumber, 5) AS BIGINT)"), _d("fp", lambda: E.float_power(c("l_linenumber"), -2), "pow(l_linenumber, -2)"))
 rowwise("sign_absolute", "customer", CKEY, _d("n", lambda: E.negative(c("c_acctbal")), "-c_acctbal"), _d("p", lambda: E.positive(c("c_acctbal")), "c_acctbal"), _d("a", lambda: E.absolute(c("c_acctbal")), "abs(c_acctbal)"), _d("f", lambda: E.fabs(c("c_acctbal")), "abs(c_acctbal)"), _d("s", lambda: E.sign(c("c_acctbal")), "sign(c_acctbal)"))
@@ -190,7 +190,7 @@ for _name, (_source, _by, _aggs, _sql) in _GROUPED.items():
 
 @query("""
 SELECT c_mktsegment, round(coalesce(sum(r), 0), 4) AS s, round(avg(r), 6) AS m, round(stddev_pop(r), 6) AS d, round(var_pop(r), 6) AS v, round(max(r), 4) AS mx, round(min(r), 4) AS mn, round(median(r), 4) AS md,
-       round(quantile_cont(r, 0.9), 4) AS q, round(sum(ln(1 + r / 100000)), 6) AS p, arg_max(c_custkey, (r, -c_custkey)) AS ax, arg_min(c_custkey, (r, c_custkey)) AS an
+       round(quantile_cont(r, 0.9), 4) AS q, round(sum(ln(1 + r / 100000)), 6) AS p, arg_max(c_custkey, (r, -c_custkey)) FILTER (r IS NOT NULL) AS ax, arg_min(c_custkey, (r, c_custkey)) FILTER (r IS NOT NULL) AS an
 FROM (SELECT *, CASE WHEN c_acctbal >= 0 THEN sqrt(abs(c_acctbal)) END AS r FROM customer) GROUP BY c_mktsegment""")
 def nan_reductions(spark, sf):
     r, place = E.sqrt(c("c_acctbal")), c("c_custkey")
@@ -272,16 +272,16 @@ def gradient(spark, sf):
     return windows.gradient_table(table(spark, sf, "events"), c("value"), c("ts"), c("event_id")).select("event_id", _r(c("gradient")).alias("gradient"))
 
 
-@query(f"SELECT CAST(r AS BIGINT) AS i0, round(sum(a), 2) AS v FROM (SELECT i // 10 AS r, i % 10 AS k, (o_totalprice + lag(o_totalprice) OVER (PARTITION BY i // 10 ORDER BY i)) / 2 AS a FROM {_NUMBERED}) GROUP BY r")
+@query(f"SELECT CAST(r AS BIGINT) AS i0, round(sum(a), 3) AS v FROM (SELECT i // 10 AS r, i % 10 AS k, (o_totalprice + lag(o_totalprice) OVER (PARTITION BY i // 10 ORDER BY i)) / 2 AS a FROM {_NUMBERED}) GROUP BY r")
 def trapz(spark, sf):
     a = _orders(spark, sf)
-    return windows.trapz(shape.reshape(a, (a.size // 10, 10)), axis=1).df.select("i0", F.round("v", 2).alias("v"))
+    return windows.trapz(shape.reshape(a, (a.size // 10, 10)), axis=1).df.select("i0", F.round("v", 3).alias("v"))
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS i0, round((o_totalprice + 2 * lag(o_totalprice) OVER (ORDER BY i) + lag(o_totalprice, 2) OVER (ORDER BY i)) / 4, 3) AS v FROM {_NUMBERED} QUALIFY i >= 2")
+@query(f"SELECT CAST(i AS BIGINT) AS i0, round((o_totalprice + 2 * lag(o_totalprice) OVER (ORDER BY i) + lag(o_totalprice, 2) OVER (ORDER BY i)) / 4, 4) AS v FROM {_NUMBERED} QUALIFY i >= 2")
 def convolve_valid(spark, sf):
     out = windows.convolve(_orders(spark, sf), from_numpy(spark, [0.25, 0.5, 0.25]), "valid")
-    return out.df.select((c("i0") + 2).alias("i0"), F.round("v", 3).alias("v"))
+    return out.df.select((c("i0") + 2).alias("i0"), F.round("v", 4).alias("v"))
 
 
 @query(f"SELECT CAST(i AS BIGINT) AS i0, round(o_totalprice * 3 + 2 * coalesce(lead(o_totalprice) OVER (ORDER BY i), 0) + coalesce(lag(o_totalprice) OVER (ORDER BY i), 0), 2) AS v FROM {_NUMBERED}")
@@ -356,11 +356,11 @@ rowwise("digitize", "lineitem", KEY, _i("d", lambda: sorting.digitize(c("l_quant
 rowwise("interp", "lineitem", KEY, _d("y", lambda: sorting.interp(c("l_quantity"), [10, 20, 40], [1, 5, -5]), "CASE WHEN l_quantity <= 10 THEN 1 WHEN l_quantity <= 20 THEN 1 + (l_quantity - 10) * 0.4 WHEN l_quantity <= 40 THEN 5 - (l_quantity - 20) * 0.5 ELSE -5 END"))
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderdate, e.event_id, round(e.value, 4) AS value FROM orders ASOF LEFT JOIN (SELECT user_id, ts - INTERVAL 8400 DAYS AS ts, event_id, value FROM events) e ON o_custkey = e.user_id AND o_orderdate >= e.ts")
+@query("SELECT o_orderkey, o_custkey, o_orderdate, coalesce(e.event_id, -1) AS event_id, round(coalesce(e.value, -1), 4) AS value FROM orders ASOF LEFT JOIN (SELECT user_id, ts - INTERVAL 8400 DAYS AS ts, event_id, value FROM events) e ON o_custkey = e.user_id AND o_orderdate >= e.ts")
 def asof_join(spark, sf):
     events = table(spark, sf, "events").select(c("user_id").alias("o_custkey"), (c("ts") - F.expr("INTERVAL 8400 DAYS")).alias("o_orderdate"), "event_id", "value")
     out = sorting.asof_join(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), events, "o_orderdate", ["o_custkey"], ["event_id", "value"])
-    return out.withColumn("value", _r(c("value")))
+    return out.withColumns({"event_id": F.coalesce("event_id", F.lit(-1)), "value": _r(F.coalesce("value", F.lit(-1.0)))})
 
 
 @query("SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 400 AND o_totalprice < p_retailprice * 400 + 100")
@@ -522,7 +522,7 @@ def kaiser(spark, sf):
 _VEC = "(SELECT vec_id, label, embedding AS e FROM embeddings)"
 
 
-@query(f"SELECT vec_id, round(sqrt(list_sum(list_transform(e, x -> x::DOUBLE * x))), 6) AS norm, round(list_sum(list_transform(list_zip(e, list_reverse(e)), p -> p[1]::DOUBLE * p[2])), 6) AS dot FROM {_VEC}")
+@query(f"SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x))), 6) AS norm, round(list_sum(list_transform(list_zip(e, list_reverse(e)), lambda p: p[1]::DOUBLE * p[2])), 6) AS dot FROM {_VEC}")
 def dot_norm_arrays(spark, sf):
     e = c("embedding")
     return table(spark, sf, "embeddings").select("vec_id", _r(products.norm_array(e), 6).alias("norm"), _r(products.dot_arrays(e, F.reverse(e)), 6).alias("dot"))
@@ -657,7 +657,7 @@ rowwise("char_strip", "part", PKEY, _s("s", lambda: T.char_strip(F.concat(F.lit(
 rowwise("char_pad", "part", PKEY, _s("l", lambda: T.char_ljust(c("p_brand"), 12, "."), "CASE WHEN length(p_brand) >= 12 THEN p_brand ELSE rpad(p_brand, 12, '.') END"), _s("r", lambda: T.char_rjust(c("p_brand"), 12, "."), "CASE WHEN length(p_brand) >= 12 THEN p_brand ELSE lpad(p_brand, 12, '.') END"), _s("z", lambda: T.char_zfill((c("p_size") - 25).cast("string"), 6), "CASE WHEN p_size < 25 THEN '-' || lpad(CAST(25 - p_size AS VARCHAR), 5, '0') ELSE lpad(CAST(p_size - 25 AS VARCHAR), 6, '0') END"), _s("c", lambda: T.char_center(c("p_type"), 20, "*"), "repeat('*', CAST(greatest(0, 20 - length(p_type)) // 2 AS BIGINT)) || p_type || repeat('*', CAST(greatest(0, 20 - length(p_type)) - greatest(0, 20 - length(p_type)) // 2 AS BIGINT))"))
 rowwise("char_search", "documents", ("doc_id", lambda: c("doc_id"), "doc_id"), _i("n", lambda: T.char_strlen(c("text")), "strlen(text)"), _i("k", lambda: T.char_count(c("text"), "the"), "(length(text) - length(replace(text, 'the', ''))) // 3"), _i("f", lambda: T.char_find(c("text"), "in"), "CASE WHEN instr(text, 'in') = 0 THEN -1 ELSE strlen(substr(text, 1, instr(text, 'in') - 1)) END"))
 rowwise("char_replace_split", "part", PKEY, _s("r", lambda: T.char_replace(c("p_name"), " ", "_"), "replace(p_name, ' ', '_')"), _s("one", lambda: T.char_replace(c("p_name"), "e", "E", 1), "CASE WHEN instr(p_name, 'e') = 0 THEN p_name ELSE substr(p_name, 1, instr(p_name, 'e') - 1) || 'E' || substr(p_name, instr(p_name, 'e') + 1) END"), _s("first", lambda: T.string_list_get(T.char_split(c("p_name")), 0), "split_part(p_name, ' ', 1)"), _i("n", lambda: T.string_list_count(T.char_split(c("p_name"), " ")), "len(string_split(p_name, ' '))"), _s("j", lambda: T.char_join(c("p_type"), "-"), "array_to_string(string_split(p_type, ''), '-')"))
-rowwise("number_text", "orders", OKEY, _s("b", lambda: T.binary_repr(c("o_orderkey"), 16), "lpad(bin(o_orderkey), 16, '0')"), _s("h", lambda: T.base_repr(c("o_orderkey"), 16), "hex(o_orderkey)"), _s("f", lambda: T.format_float(c("o_totalprice"), 1), "printf('%.1f', o_totalprice)"))
+rowwise("number_text", "orders", OKEY, _s("b", lambda: T.binary_repr(c("o_orderkey"), 16), "lpad(bin(o_orderkey), 16, '0')"), _s("h", lambda: T.base_repr(c("o_orderkey"), 16), "hex(o_orderkey)"), _s("f", lambda: T.format_float(c("o_totalprice"), 3), "printf('%.3f', o_totalprice)"))
 rowwise("fromstring_fromregex", "events", EKEY, _i("k", lambda: F.get(T.from_regex(c("props"), r'"(\w+)": (\d+)', {"name": "string", "value": "long"}), F.lit(0))["value"], "regexp_extract(props, '\"k\": (\\d+)', 1)"), _d("s", lambda: F.get(T.from_text(F.concat_ws(";", c("event_id"), c("value")), ";"), F.lit(1)), "value"))
 
 
@@ -674,8 +674,8 @@ rowwise("datetime_units", "orders", OKEY, _i("y", lambda: D.from_timestamp(c("o_
 rowwise("datetime_parts", "events", EKEY, _i("y", lambda: D.to_date(D.from_timestamp(c("ts"), "us"), "us")["year"], "year(ts)"), _i("d", lambda: D.to_date(D.from_timestamp(c("ts"), "s"), "s")["day"], "day(ts)"), _i("h", lambda: D.to_time(D.from_timestamp(c("ts"), "s"), "s")["hour"], "hour(ts)"), _i("s", lambda: D.to_time(D.from_timestamp(c("ts"), "s"), "s")["second"], "second(ts)"), _s("t", lambda: D.to_string(D.from_timestamp(c("ts"), "s"), "s"), "strftime(ts, '%Y-%m-%dT%H:%M:%S')"), _i("p", lambda: D.from_string(D.to_string(D.from_timestamp(c("ts"), "s"), "s"), "s"), "epoch_us(ts) // 1000000"))
 rowwise("datetime_arithmetic", "orders", OKEY, _i("a", lambda: D.add(D.from_timestamp(c("o_orderdate"), "D"), D.timedelta(F.lit(30), "D")), f"{_DAY} + 30"), _i("s", lambda: D.subtract(D.from_timestamp(c("o_orderdate"), "D"), F.lit(9000)), f"{_DAY} - 9000"), _i("c", lambda: D.compare(D.from_timestamp(c("o_orderdate"), "D"), F.lit(10000)), f"sign({_DAY} - 10000)"), _i("f", lambda: D.from_date(F.year("o_orderdate"), F.month("o_orderdate"), F.lit(1), "D"), "date_trunc('month', o_orderdate)::DATE - DATE '1970-01-01'"), _i("v", lambda: D.convert(D.from_timestamp(c("o_orderdate"), "D"), "D", "s"), f"{_DAY} * 86400"))
 _BUS = "((d + 3) // 7 * 5 + least((d + 3) % 7, 5))"
-QUERIES["busday"] = lambda spark, sf: table(spark, sf, "orders").select("o_orderkey", D.from_timestamp(c("o_orderdate"), "D").alias("d")).select("o_orderkey", D.is_busday(c("d")).alias("b"), D.busday_count(F.lit(9131), c("d")).cast("long").alias("n"), F.when(D.is_busday(c("d")), D.busday_offset(F.when(D.is_busday(c("d")), c("d")).otherwise(0), F.lit(5))).cast("long").alias("o"))
-ORACLES["busday"] = f"SELECT o_orderkey, isodow(o_orderdate) < 6 AS b, CAST({_BUS} - {_BUS.replace('d +', '9131 +')} AS BIGINT) AS n, CAST(CASE WHEN isodow(o_orderdate) < 6 THEN d + 7 END AS BIGINT) AS o FROM (SELECT *, {_DAY} AS d FROM orders)"
+QUERIES["busday"] = lambda spark, sf: table(spark, sf, "orders").select("o_orderkey", D.from_timestamp(c("o_orderdate"), "D").alias("d")).select("o_orderkey", D.is_busday(c("d")).alias("b"), D.busday_count(F.lit(9131), c("d")).cast("long").alias("n"), F.when(D.is_busday(c("d")), D.busday_offset(F.when(D.is_busday(c("d")), c("d")).otherwise(0), F.lit(5))).otherwise(-1).cast("long").alias("o"))
+ORACLES["busday"] = f"SELECT o_orderkey, isodow(o_orderdate) < 6 AS b, CAST({_BUS} - {_BUS.replace('d +', '9131 +')} AS BIGINT) AS n, CAST(CASE WHEN isodow(o_orderdate) < 6 THEN d + 7 ELSE -1 END AS BIGINT) AS o FROM (SELECT *, {_DAY} AS d FROM orders)"
 
 # --- records and masks --------------------------------------------------------------------------------
 

@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,8 +169,6 @@ def frombuffer(spark: SparkSession, buffer: bytes, dtype: str = "float64") -> Nd
 
 def newbyteorder(a: NdFrame) -> NdFrame:
     """Every value with its bytes reversed."""
-    import pandas as pd
-
     kind = np.dtype(a.dtype)
 
     @F.pandas_udf(SPARK[a.dtype])
@@ -181,8 +180,6 @@ def newbyteorder(a: NdFrame) -> NdFrame:
 
 def getfield(values: DataFrame, column: str, dtype: str, offset: int) -> DataFrame:
     """Bytes at an offset of a binary column, read as a number."""
-    import pandas as pd
-
     kind = np.dtype(dtype)
 
     @F.pandas_udf(SPARK[dtype])
@@ -194,8 +191,6 @@ def getfield(values: DataFrame, column: str, dtype: str, offset: int) -> DataFra
 
 def float_to_half(x):
     """Column of 16-bit patterns of doubles."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def bits(v: pd.Series) -> pd.Series:
         return pd.Series(v.to_numpy(np.float64).astype(np.float16).view(np.uint16).astype("int32"))
@@ -204,8 +199,6 @@ def float_to_half(x):
 
 
 def half_to_float(x):
-    import pandas as pd
-
     @F.pandas_udf("double")
     def value(v: pd.Series) -> pd.Series:
         return pd.Series(v.to_numpy(np.uint16).view(np.float16).astype(np.float64))

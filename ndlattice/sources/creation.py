@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,6 @@ def from_rule(spark: SparkSession, shape: Sequence[int], rule: Callable[..., Col
 
 def fromfunction(spark: SparkSession, f: Callable[..., float], shape: Sequence[int], dtype: str = "float64") -> NdFrame:
     """A Python function over coordinates, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def each(index: pd.DataFrame) -> pd.Series:
         return pd.Series([float(f(*row)) for row in index.itertuples(index=False)])
