@@ -122,7 +122,7 @@ def emath_arcsin(x: Value) -> Column:
     """Beyond 1 the real part stays at a quarter turn."""
     x = E.real(x)
     out = F.abs(x) > 1
-    return make(F.when(out, F.signum(x) * F.pi() / 2).otherwise(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))), F.when(out, F.signum(x) * F.acosh(F.greatest(F.abs(x), F.lit(1.0)))).otherwise(0.0))
+    return make(F.when(out, F.signum(x) * F.pi() / 2).otherwise(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))), F.when(out, F.acosh(F.greatest(F.abs(x), F.lit(1.0)))).otherwise(0.0))
 
 
 def emath_arccos(x: Value) -> Column:
