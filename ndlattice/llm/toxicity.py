@@ -131,6 +131,8 @@ class Scorer:
 def _features(text: str) -> Iterator[tuple[str, str]]:
     """(feature, neighbours) of each word; stems end in a star."""
     found = [w for w in _TOKEN.findall(text.lower()) if w not in _ENDS]
+    if not found:
+        return
     for before, word, after in zip(["", *found[:-1]], found, [*found[1:], ""], strict=True):
         if len(word) > 2:
             around = f"{before} {after}"
