@@ -29,6 +29,8 @@ from .common import chunks, record
 MASKS = ("110110011", "101110101", "111001011", "110101110")
 #: A leak agrees in so many words (or in all words of a shorter item) at this share of its stretch.
 LEAST_WORDS, LEAST_SHARE = 10, 0.75
+#: Words under a mask.
+SPAN = len(MASKS[0])
 #: Characters of benchmark text in one block; a block is what is broadcast at once.
 BLOCK_CHARS = 8_000_000
 _WORD = re.compile(r"\w+")
@@ -52,6 +54,18 @@ def window_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
     return total
 
 
+def fresh(hashes: np.ndarray, span: int) -> np.ndarray:
+    """Places whose hash does not stand up to span places before: of a run that repeats itself the start.
+
+    Shifts by a run's period lay equal words over each other, so its start stands for them all, and
+    the windows across its ends have hashes of their own.
+    """
+    new = np.ones(len(hashes), bool)
+    for p in range(1, min(span, len(hashes) - 1) + 1):
+        new[p:] &= hashes[p:] != hashes[:-p]
+    return new
+
+
 class Index:
     """Hashes of a benchmark block under every mask, and its texts as word ids."""
 
@@ -74,11 +88,12 @@ class Index:
         """Hashes, items and places by hash, and a bitmap of the low hash bits."""
         if not found:
             return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1 << 20, bool)
-        hashes = np.concatenate([h for h, _ in found])
+        keep = [np.flatnonzero(fresh(h, SPAN)) for h, _ in found]
+        hashes = np.concatenate([h[k] for (h, _), k in zip(found, keep, strict=True)])
         order = np.argsort(hashes, kind="stable")
         bitmap = np.zeros(1 << 20, bool)
         bitmap[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        return hashes[order], np.concatenate([np.full(len(h), i) for h, i in found])[order], np.concatenate([np.arange(len(h)) for h, _ in found])[order], bitmap
+        return hashes[order], np.concatenate([np.full(len(k), i) for (_, i), k in zip(found, keep, strict=True)])[order], np.concatenate(keep)[order], bitmap
 
     def leaks(self, texts: list[str | None]) -> list[list[Leak]]:
         """For each text its verified overlaps, the best one of each item, by item."""
@@ -95,6 +110,10 @@ class Index:
         for mask, hashes, items, places, bitmap in self.seeds:
             own = window_hashes(a, mask)
             maybe = np.flatnonzero(bitmap[(own & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            again = np.zeros(len(maybe), bool)
+            for p in range(1, SPAN + 1):
+                again |= (maybe >= p) & (own[maybe] == own[maybe - p])
+            maybe = maybe[~again]
             lo, hi = np.searchsorted(hashes, own[maybe], "left"), np.searchsorted(hashes, own[maybe], "right")
             for at, s, e in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
                 d = int(np.searchsorted(begin, at, "right")) - 1
