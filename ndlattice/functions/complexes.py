@@ -135,7 +135,7 @@ def emath_arctanh(x: Value) -> Column:
     out = F.abs(x) > 1
     inside = E.arctanh(x)
     outside = F.when(out, F.ln(F.abs((1 + x) / F.nullif(1 - x, F.lit(0.0)))) / 2)
-    return make(F.when(out, outside).otherwise(inside), F.when(out, F.signum(x) * F.pi() / 2).otherwise(0.0))
+    return make(F.when(out, outside).otherwise(inside), F.when(out, F.pi() / 2).otherwise(0.0))
 
 
 def emath(df: DataFrame, column: str, name: str, below: float | None = 0.0, beyond: float | None = None) -> DataFrame:
