@@ -13,7 +13,8 @@ Defined cases: null text counts as empty; a text without a word has empty bins o
 them are alike at 1; equal texts have equal fingerprints.  For the edited text, rows with one
 doc_id count as one document when they are another's next one, with the longest of their texts (of equally
 long ones that of the greatest hash);
-a null doc_id counts as the smallest one; a table's only document is its own next one; other
+a null doc_id counts as the smallest one (-2**63, which
+is read as null); a table's only document is its own next one; other
 columns are ignored.
 """
 
@@ -41,7 +42,7 @@ def _starts(a: Column, key: Callable[[Column], Column]) -> Column:
 
 
 def sketch(text: Column, k: int = K, bins: int = BINS) -> Column:
-    """array<int>: for each bin the hash of its pair, 16 bits, or EMPTY."""
+    """array<smallint>: for each bin the hash of its pair, 15 bits, or EMPTY."""
     place = (1 << _PLACE) - 1
     head = lambda v: F.shiftrightunsigned(v, _PLACE)
     packed = lambda h, at: F.shiftleft(F.shiftrightunsigned(h, _PLACE + 1), _PLACE).bitwiseOR(at.cast("long"))
@@ -63,13 +64,13 @@ def sketch(text: Column, k: int = K, bins: int = BINS) -> Column:
     def pair(w: Column, j: Column) -> Column:
         one, two = F.get(w, j), F.get(w, j + 1)
         ordered = F.when(two.isNull() | (bin_of(one) != bin_of(two)), F.xxhash64(head(one))).when(one.bitwiseAND(place) < two.bitwiseAND(place), F.xxhash64(head(one), head(two))).otherwise(F.xxhash64(head(two), head(one)))
-        return F.struct(bin_of(one).cast("int").alias("bin"), ordered.bitwiseAND(0xFFFF).cast("int").alias("hash"))
+        return F.struct(bin_of(one).cast("int").alias("bin"), ordered.bitwiseAND(0x7FFF).cast("smallint").alias("hash"))
 
     def filled(w: Column) -> Column:
         found = F.map_from_entries(F.transform(_starts(w, bin_of), lambda j: pair(w, j)))
-        return let(found, lambda m: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.element_at(m, b), F.lit(EMPTY))))
+        return let(found, lambda m: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.element_at(m, b), F.lit(EMPTY).cast("smallint"))))
 
-    made = let(words, lambda a: F.when(F.size(a) == 0, F.array_repeat(F.lit(EMPTY), bins)).otherwise(let(let(kmers(a), numbered), filled)))
+    made = let(words, lambda a: F.when(F.size(a) == 0, F.array_repeat(F.lit(EMPTY).cast("smallint"), bins)).otherwise(let(let(kmers(a), numbered), filled)))
     return made
 
 
@@ -101,7 +102,8 @@ def successors(ids: DataFrame) -> DataFrame:
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # both joins take the same two columns, so that the texts are shuffled once and reused
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     third = F.floor(F.length("text") / 3).cast("int")
     ids = rows.groupBy("k").agg(F.max(third).alias("need"))
     follow = settled(successors(ids).join(ids, "k"))
@@ -110,6 +112,6 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     sent = rows.join(wanted, "k").groupBy(F.col("to").alias("k")).agg(F.max_by(F.expr("substring(text, 1, need)"), which).alias("tail"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - floor(length(text) / 3))"), F.expr("substring(tail, 1, floor(length(text) / 3))"))
     both = rows.join(sent, "k").join(follow.select("k", "next"), "k")
-    made = settled(both.select("k", "doc_id", "next", F.length("text").cast("long").alias("n_chars"), sketch(F.col("text")).alias("own"), let(edited, lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), sketch(e).alias("sketch"))).alias("edited"), F.xxhash64("text").alias("h")))
+    made = settled(both.select("k", "next", F.length("text").cast("long").alias("n_chars"), sketch(F.col("text")).alias("own"), let(edited, lambda e: F.struct(F.unhex(F.sha2(e.cast("binary"), 256)).alias("sha"), sketch(e).alias("sketch"))).alias("edited"), F.xxhash64("text").alias("h")))
     theirs = made.groupBy(F.col("k").alias("next")).agg(F.max_by("own", F.struct("n_chars", "h")).alias("theirs"))
-    return made.join(theirs, "next").select("doc_id", "n_chars", F.col("edited.sha").alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("edited.sketch")).alias("edited_fingerprint"), alike(F.col("own"), F.col("edited.sketch")).alias("near_edited"), alike(F.col("own"), F.col("theirs")).alias("near_next"))
+    return made.join(theirs, "next").select(F.nullif("k", F.lit(-(1 << 63))).alias("doc_id"), "n_chars", F.lower(F.hex("edited.sha")).alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("edited.sketch")).alias("edited_fingerprint"), alike(F.col("own"), F.col("edited.sketch")).alias("near_edited"), alike(F.col("own"), F.col("theirs")).alias("near_next"))
