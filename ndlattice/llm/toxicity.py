@@ -34,14 +34,14 @@ from .common import HELD_OUT, chunks, fold, record
 TRAIN_ROWS = 20_000
 #: Stems of these lengths are tried beside whole words.
 STEMS = (3, 4, 5, 6)
-#: An insult must occur in so many toxic texts, between so many different neighbours, and so purely.
-SUPPORT, PURITY = 5, 0.85
+#: An insult must occur in so many toxic texts, in such a share of them, between as many different neighbours, and so purely.
+SUPPORT, SHARE, PURITY = 4, 0.004, 0.95
 #: At most so many candidates, those in most toxic texts, are looked at.
 CANDIDATES = 20_000
 
 #: Fixed word classes of the grammar.
-THREATS = ("kill", "hurt", "beat", "burn", "destroy", "shoot", "stab", "die", "töten", "umbringen", "tuer", "matar")
-TARGETS = ("you", "your", "yours", "yourself", "he", "him", "she", "her", "they", "them", "everyone", "du", "dich", "dir", "tu", "toi", "te", "vous", "ti", "usted")
+THREATS = ("kill", "hurt", "beat", "burn", "destroy", "shoot", "stab", "töten", "umbringen", "tuer", "matar")
+TARGETS = ("you", "your", "yours", "yourself", "he", "him", "she", "her", "they", "them", "everyone", "dich", "euch", "toi", "vous", "usted", "ustedes")
 NEGATORS = ("not", "never", "isn't", "aren't", "wasn't", "don't", "nicht", "kein", "nunca", "jamais")
 REPORTERS = ("said", "says", "wrote", "quoted", "reported", "claimed", "sagte", "schrieb", "dijo", "disait")
 OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORTER = range(6)
@@ -165,7 +165,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Scorer:
                 yield record(schema, {"feature": [*total], "bad": [x[0] for x in total.values()], "good": [x[1] for x in total.values()]})
 
     counts = sample.mapInArrow(count, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    pure = counts.where((F.col("feature") == "") | ((F.col("bad") >= SUPPORT) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good")))))
+    need = max(SUPPORT, SHARE * toxic * min(1.0, rows / n))
+    pure = counts.where((F.col("feature") == "") | ((F.col("bad") >= need) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good")))))
     found = {r["feature"]: (r["bad"], r["good"]) for r in pure.orderBy(F.desc("bad"), "feature").limit(CANDIDATES + 1).collect()}
     all_bad, all_good = found.pop("", (0, 0))
 
@@ -178,13 +179,17 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Scorer:
 
     # copies of one text share a word's neighbours, so what only one copied text says has one context
     around = sample.where("toxic = 1").select("text").mapInArrow(contexts, "feature string, around string").distinct().groupBy("feature").count()
-    varied = {r["feature"] for r in around.where(F.col("count") >= SUPPORT).collect()}
+    varied = {r["feature"] for r in around.where(F.col("count") >= need).collect()}
     weigh = lambda bad, good: min(6.0, math.log((bad + 0.5) / (all_bad + 1)) - math.log((good + 0.5) / (all_good + 1)))
+    # the shortest pure stem shows where an insult begins; the longest form that nearly all its texts share is what it is
     stems: dict[str, float] = {}
-    for f in sorted((f for f in varied if f.endswith("*")), key=len):
-        if not any(f[:n] in stems for n in range(1, len(f) - 1)):
-            stems[f[:-1]] = weigh(*found[f])
-    words = {f: weigh(*found[f]) for f in varied if not f.endswith("*") and not any(f[:n] in stems for n in range(1, len(f) + 1))}
+    words: dict[str, float] = {}
+    for f in sorted(varied, key=lambda f: (len(f), f)):
+        start = f.rstrip("*")
+        if any(start[:n] in stems for n in range(1, len(start) + 1)) or start in words:
+            continue
+        longest = max((g for g in varied if g.startswith(start) and found[g][0] >= 0.9 * found[f][0]), key=lambda g: (len(g.rstrip("*")), g))
+        (stems if longest.endswith("*") else words)[longest.rstrip("*")] = weigh(*found[longest])
     scorer = Scorer(stems, words)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
