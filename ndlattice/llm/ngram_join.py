@@ -177,9 +177,10 @@ def forest(linked: np.ndarray) -> list[int]:
 
 def links(docs: DataFrame, reps: DataFrame, n: int, threshold: float) -> DataFrame:
     """node, root, n for nodes with links: n different nodes linked in one task, root a node of the same group there."""
-    spread = reps.where(F.size("bands") > 0).select("node", "row", "bands", F.posexplode("bands").alias("band", "h"))
+    # buckets are found on narrow rows; the bands of their nodes, few of all, are fetched afterwards
+    spread = reps.where(F.size("bands") > 0).select("node", F.posexplode("bands").alias("band", "h"))
     sizes = spread.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1")
-    held = spread.join(sizes, ["band", "h"])
+    held = spread.join(sizes, ["band", "h"]).join(reps.select("node", "row", "bands"), "node")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     held = held.select("band", "h", "node", "row", "bands", own.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
