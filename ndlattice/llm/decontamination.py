@@ -3,7 +3,7 @@
 A mask of fixed length reads some of the word positions under it and ignores the others, so a
 window keeps its hash when an ignored word is replaced.  Test windows are hashed under every
 mask; training windows are joined to them by hash; and each hit is verified along its diagonal:
-the best stretch of agreeing words, substitutions allowed but charged, must be long enough.
+some stretch of agreeing words, substitutions allowed but charged, must be long enough.
 
 The benchmark is the stated query set.  It is joined in blocks of bounded text, each broadcast
 and met with all training rows, so the training texts are never shuffled.
@@ -130,19 +130,35 @@ class Index:
         return out
 
     def verify(self, a: np.ndarray, item: int, shift: int, begin: int, end: int) -> Leak | None:
-        """Best stretch of the item laid over the document at this shift: agreeing words count 1, others -1."""
+        """Best stretch of the item laid over the document at this shift: agreeing words count 1, others -1.
+
+        Where that one breaks a rule, of all stretches that keep both rules the one of most agreeing words.
+        """
         x = self.items[item]
         s, e = max(shift, begin), min(shift + len(x), end)
         if e <= s:
             return None
         same = a[s:e] == x[s - shift : e - shift]
-        runs = np.concatenate([[0], np.cumsum(np.where(same, 1, -1))])
+        least = min(self.least, len(x))
+        if np.count_nonzero(same) < least:
+            return None
+        agreed, at = np.concatenate([[0], np.cumsum(same)]), np.arange(len(same) + 1)
+        runs = 2 * agreed - at
         low = np.minimum.accumulate(runs)
         stop = int((runs - low).argmax())
         start = int(runs[: stop + 1].argmin())
-        agree = int(same[start:stop].sum())
-        if agree < min(self.least, len(x)) or agree < self.share * (stop - start):
-            return None
+        agree = int(agreed[stop] - agreed[start])
+        if agree < least or agree < self.share * (stop - start):
+            over = agreed - self.share * at  # a stretch has its share if this is no lower at its end than at its start
+            highest = np.maximum.accumulate(over[::-1])
+            farthest = len(same) - np.searchsorted(highest, over - 1e-9)
+            agrees = agreed[farthest] - agreed
+            agree = int(agrees.max())
+            if agree < least:
+                return None
+            start = int(agrees.argmax())
+            stop = int(np.searchsorted(agreed, agreed[farthest[start]]))
+            start = int(np.searchsorted(agreed, agreed[start], "right")) - 1
         return item, s + start - begin, agree, stop - start
 
 

@@ -129,6 +129,22 @@ def test_decontamination(spark):
     assert len(many) > 2 and sorted(x for b in many for x in b) == sorted(enumerate(items))
 
 
+def test_decontamination_any_stretch():
+    vocabulary = [f"w{i}" for i in range(400)]
+    item = R.sample(vocabulary, 33)
+    halves = " ".join(["zzz" if 12 <= i < 21 else w for i, w in enumerate(item)])
+    (leak,) = decontamination.Index([" ".join(item)]).leaks([f"{prose(5)} {halves} {prose(5)}"])[0]
+    assert leak == (0, 5, 12, 12)
+    index = decontamination.Index([])
+    for _ in range(500):
+        n, rate = R.randint(1, 40), R.uniform(0, 0.5)
+        same = np.array([R.random() >= rate for _ in range(n)])
+        index.items = [np.arange(1, n + 1, dtype=np.uint64)]
+        leak = index.verify(np.where(same, index.items[0], 0).astype(np.uint64), 0, 0, 0, n)
+        kept = {(s, int(same[s:e].sum()), e - s) for s, e in itertools.combinations(range(n + 1), 2) if same[s:e].sum() >= max(min(10, n), 0.75 * (e - s))}
+        assert leak[1:] in kept if leak else not kept
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
 <header class="site"><a href="/">Home</a></header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies. Please accept.</p></div><div class="ad">Buy now, only today.</div>
