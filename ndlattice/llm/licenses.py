@@ -1,8 +1,9 @@
 """License scanning by ordered signature rules behind a keyword prefilter.
 
 Rules are regular expressions with a label, a priority and a confidence; every rule names a
-keyword that its matches must contain.  One pass of an Aho-Corasick automaton finds the keywords
-of a text, and only the rules of those run.  Where two detections overlap, the one that contains
+keyword that its matches must contain, and every name words of which it contains one.  One pass
+of an Aho-Corasick automaton finds these in a text whose white space is collapsed, and only the
+rules of which both are there run, on the text as it is.  Where two detections overlap, the one that contains
 the other stays; of equal intervals, the one of higher priority; of partial overlaps, the longer.
 
 Beside that stand exact counts of a few fixed phrases over the words of the text.
@@ -14,7 +15,7 @@ and null ids are scanned one by one; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import ahocorasick
@@ -28,34 +29,34 @@ from .common import chunks, record
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-#: label, words of which a text with the name has one, expression for the license's name; hand-written, matched in lower-cased text, spaces stand for any white space.
+#: label, words of which a text with the name has one, expression for the license's name; hand-written, matched in lower-cased text, spaces stand for any white space; the words begin where a word begins.
 NAMES = (
-    ("mit", "mit", r"(?:the )?(?:expat|mit)(?:/x11)?(?: license)?"),
+    ("mit", "mit|expat", r"(?:the )?(?:expat|mit)(?:/x11)?(?: license)?"),
     ("x11", "x11", r"x11 license"),
-    ("apache-2.0", "apache", r"(?:the )?apache(?: software)?(?: license)?,? ?(?:version |v)?2(?:\.0)?"),
-    ("apache-1.1", "apache", r"(?:the )?apache(?: software)?(?: license)?,? ?(?:version |v)?1\.1"),
+    ("apache-2.0", "apache", r"(?:the )?apache(?: software)?(?: license)?(?:-|,? ?)(?:version |v)?2(?:\.0)?"),
+    ("apache-1.1", "apache", r"(?:the )?apache(?: software)?(?: license)?(?:-|,? ?)(?:version |v)?1\.1"),
     ("apache", "apache", r"(?:the )?apache(?: software)? license"),
-    ("gpl-2.0", "general public|gpl", r"(?:the )?(?:gnu )?(?:general public license|gpl),? ?(?:version |v)?2(?:\.0)?"),
-    ("gpl-3.0", "general public|gpl", r"(?:the )?(?:gnu )?(?:general public license|gpl),? ?(?:version |v)?3(?:\.0)?"),
+    ("gpl-2.0", "general public|gpl", r"(?:the )?(?:gnu )?(?:general public license|gpl)(?:-|,? ?)(?:version |v)?2(?:\.0)?"),
+    ("gpl-3.0", "general public|gpl", r"(?:the )?(?:gnu )?(?:general public license|gpl)(?:-|,? ?)(?:version |v)?3(?:\.0)?"),
     ("gpl", "general public|gpl", r"(?:the )?(?:gnu )?(?:general public license|gpl)"),
-    ("lgpl-2.1", "general public|lgpl", r"(?:the )?(?:gnu )?(?:(?:lesser|library) general public license|lgpl),? ?(?:version |v)?2\.1"),
-    ("lgpl-3.0", "lesser general|lgpl", r"(?:the )?(?:gnu )?(?:lesser general public license|lgpl),? ?(?:version |v)?3(?:\.0)?"),
+    ("lgpl-2.1", "general public|lgpl", r"(?:the )?(?:gnu )?(?:(?:lesser|library) general public license|lgpl)(?:-|,? ?)(?:version |v)?2\.1"),
+    ("lgpl-3.0", "lesser general|lgpl", r"(?:the )?(?:gnu )?(?:lesser general public license|lgpl)(?:-|,? ?)(?:version |v)?3(?:\.0)?"),
     ("lgpl", "lesser general|lgpl", r"(?:the )?(?:gnu )?(?:lesser general public license|lgpl)"),
-    ("agpl-3.0", "affero|agpl", r"(?:the )?(?:gnu )?(?:affero general public license|agpl),? ?(?:version |v)?3(?:\.0)?"),
+    ("agpl-3.0", "affero|agpl", r"(?:the )?(?:gnu )?(?:affero general public license|agpl)(?:-|,? ?)(?:version |v)?3(?:\.0)?"),
     ("agpl", "affero|agpl", r"(?:the )?(?:gnu )?(?:affero general public license|agpl)"),
     ("bsd-2-clause", "bsd", r"(?:the )?(?:bsd[- ]2[- ]clause|(?:simplified|2-clause) bsd)(?: license)?"),
     ("bsd-3-clause", "bsd", r"(?:the )?(?:bsd[- ]3[- ]clause|(?:new|modified|revised|3-clause) bsd)(?: license)?"),
     ("bsd", "bsd", r"(?:the )?bsd(?:-style)? license"),
-    ("mpl-2.0", "mozilla|mpl", r"(?:the )?(?:mozilla public license|mpl),? ?(?:version |v)?2(?:\.0)?"),
-    ("mpl-1.1", "mozilla|mpl", r"(?:the )?(?:mozilla public license|mpl),? ?(?:version |v)?1\.1"),
-    ("epl-2.0", "eclipse|epl", r"(?:the )?(?:eclipse public license|epl),? ?(?:version |v|- ?v ?)?2(?:\.0)?"),
-    ("epl-1.0", "eclipse|epl", r"(?:the )?(?:eclipse public license|epl),? ?(?:version |v|- ?v ?)?1(?:\.0)?"),
-    ("eupl-1.2", "european union|eupl", r"(?:the )?(?:european union public licen[cs]e|eupl),? ?(?:version |v\.? ?)?1\.2"),
-    ("cddl-1.0", "common development|cddl", r"(?:the )?(?:common development and distribution license|cddl),? ?(?:version |v)?1(?:\.0)?"),
+    ("mpl-2.0", "mozilla|mpl", r"(?:the )?(?:mozilla public license|mpl)(?:-|,? ?)(?:version |v)?2(?:\.0)?"),
+    ("mpl-1.1", "mozilla|mpl", r"(?:the )?(?:mozilla public license|mpl)(?:-|,? ?)(?:version |v)?1\.1"),
+    ("epl-2.0", "eclipse|epl", r"(?:the )?(?:eclipse public license|epl)(?:-|,? ?)(?:version |v|- ?v ?)?2(?:\.0)?"),
+    ("epl-1.0", "eclipse|epl", r"(?:the )?(?:eclipse public license|epl)(?:-|,? ?)(?:version |v|- ?v ?)?1(?:\.0)?"),
+    ("eupl-1.2", "european union|eupl", r"(?:the )?(?:european union public licen[cs]e|eupl)(?:-|,? ?)(?:version |v\.? ?)?1\.2"),
+    ("cddl-1.0", "common development|cddl", r"(?:the )?(?:common development and distribution license|cddl)(?:-|,? ?)(?:version |v)?1(?:\.0)?"),
     ("isc", "isc", r"(?:the )?isc license"),
     ("zlib", "zlib", r"(?:the )?zlib(?:/libpng)? license"),
-    ("boost-1.0", "boost", r"(?:the )?boost software license,? ?(?:version |v)?1\.0"),
-    ("artistic-2.0", "artistic", r"(?:the )?artistic license,? ?(?:version |v)?2\.0"),
+    ("boost-1.0", "boost", r"(?:the )?boost software license(?:-|,? ?)(?:version |v)?1\.0"),
+    ("artistic-2.0", "artistic", r"(?:the )?artistic license(?:-|,? ?)(?:version |v)?2\.0"),
     ("python-2.0", "python|psf", r"(?:the )?(?:python software foundation|psf) license(?: version 2)?"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", "wtfpl|do what the", r"(?:the )?(?:wtfpl|do what the fuck you want to public license)"),
@@ -63,11 +64,11 @@ NAMES = (
     *((f"cc-{kind}-{v}", "cc-by|cc by|commons by|commons-by", rf"(?:cc|creative commons)[- ]{kind}[- ]{re.escape(v)}(?: international)?") for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for v in ("2.0", "2.5", "3.0", "4.0")),
     *((f"cc-{kind}", "cc-by|cc by|commons by|commons-by", rf"(?:cc|creative commons)[- ]{kind}") for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")),
 )
-#: kind of mention: expression around a name, keyword it must contain, priority, confidence.
+#: kind of mention: expression around a name, keywords of which it contains one, priority, confidence.
 FRAMES = (
     ("spdx", r"spdx-license-identifier: ?{name}", "spdx", 4, 0.99),
-    ("grant", r"(?:licensed|released|distributed|available|published) under (?:the terms of )?{name}", " under", 3, 0.95),
-    ("terms", r"(?:terms|conditions) of {name}", " of", 2, 0.85),
+    ("grant", r"(?:licensed|released|distributed|available|published) under (?:the terms of )?{name}", "licensed under |released under |distributed under |available under |published under ", 3, 0.95),
+    ("terms", r"(?:terms|conditions) of {name}", "terms of |conditions of ", 2, 0.85),
     ("field", r"license ?[:=] ?[\"']?{name}", "license", 2, 0.8),
     ("name", r"{name} licen[cs]e", "licen", 1, 0.6),
 )
@@ -99,7 +100,7 @@ class Rule(NamedTuple):
 
 def rules() -> list[Rule]:
     """Every name in every frame, and the lone mentions: some hundreds."""
-    spaced = lambda x: re.compile(rf"(?<!\w){x.replace(' ?', chr(0)).replace(' ', r'\s+').replace(chr(0), r'\s*')}(?!\w)")
+    spaced = lambda x: re.compile(rf"(?<!\w){x.replace(' ?', chr(0)).replace('[- ]', '(?:-| )').replace(' ', r'\s+').replace(chr(0), r'\s*')}(?!\w)")
     out = [Rule(label, word, spaced(frame.format(name=f"(?:{name})")), priority, confidence, False) for label, _, name in NAMES for _, frame, word, priority, confidence in FRAMES]
     return out + [Rule(label, word, spaced(x), priority, confidence, True) for label, word, x, priority, confidence in LONE]
 
@@ -111,23 +112,30 @@ class Rules:
         self.rules = ordered if ordered is not None else rules()
         self.names = {label: words.split("|") for label, words, _ in NAMES}
         self.automaton = ahocorasick.Automaton()
-        words: dict[str, list[int]] = {}
-        for i, rule in enumerate(self.rules):
-            words.setdefault(rule.keyword, []).append(i)
-        for word, own in words.items():
-            self.automaton.add_word(word, own)
+        self.needs = [tuple(rule.keyword.split("|")) for rule in self.rules]
+        for word in {w for own in (*self.needs, *self.names.values()) for w in own}:
+            self.automaton.add_word(word, word)
         self.automaton.make_automaton()
-        self.gate = re.compile(r"licen[cs]|gpl|spdx|public domain|rights reserved|permission|redistribution|(?:mit|apache|bsd|mozilla|eclipse|creative commons|cc[- ]by|cc0)\b|\.org/licenses")
+
+    def wanted(self, low: str) -> list[int]:
+        """Rules that may match: of their keywords and of their name's words one each begins a word of the text."""
+        low, hits = " ".join(low.split()), set()
+        for at, word in self.automaton.iter(low):
+            before = low[at - len(word)] if at >= len(word) else " "
+            if word not in hits and not (before.isalnum() or before == "_"):
+                hits.add(word)
+        if not hits:
+            return []
+        told = {label for label, words in self.names.items() if not hits.isdisjoint(words)}
+        return [i for i, rule in enumerate(self.rules) if (rule.lone or rule.label in told) and not hits.isdisjoint(self.needs[i])]
 
     def detect(self, low: str) -> list[tuple[int, int, Rule]]:
         """Detections that stand, by start."""
-        if not self.gate.search(low):
-            return []
-        wanted: set[int] = set()
-        for _, own in self.automaton.iter(low):
-            wanted.update(own)
-        told = {label for label, words in self.names.items() if any(w in low for w in words)}
-        found = [(m.start(), m.end(), i) for i in sorted(wanted) if self.rules[i].lone or self.rules[i].label in told for m in self.rules[i].pattern.finditer(low)]
+        return self.standing(low, self.wanted(low))
+
+    def standing(self, low: str, wanted: Iterable[int]) -> list[tuple[int, int, Rule]]:
+        """Detections of the wanted rules that stand, by start."""
+        found = [(m.start(), m.end(), i) for i in wanted for m in self.rules[i].pattern.finditer(low)]
         found.sort(key=lambda x: (x[0] - x[1], -self.rules[x[2]].priority, x[2]))
         kept: list[tuple[int, int, int]] = []
         for s, e, i in found:  # longest first, so that whatever overlaps a kept one is contained in it or shorter

@@ -405,6 +405,42 @@ def test_licenses(spark):
     assert len(spans) == 1 and spans[0][2].label == "mit"
 
 
+def sample(parts):
+    """A text that the parsed expression matches; assertions are left to chance."""
+    out = ""
+    for kind, value in parts:
+        match str(kind):
+            case "LITERAL":
+                out += chr(value)
+            case "BRANCH":
+                out += sample(R.choice(value[1]))
+            case "SUBPATTERN":
+                out += sample(value[3])
+            case "MAX_REPEAT":
+                out += "".join(sample(value[2]) for _ in range(R.randint(value[0], min(int(value[1]), value[0] + 1))))
+            case "IN":
+                kind, one = R.choice(value)
+                out += chr(one) if str(kind) == "LITERAL" else chr(R.randint(*one)) if str(kind) == "RANGE" else R.choice(" \n\t\u2003")
+            case "ASSERT_NOT":
+                pass
+            case _:
+                raise ValueError(kind)
+    return out
+
+
+def test_license_prefilter():
+    known = licenses.Rules()
+    every = range(len(known.rules))
+    for text, label in (("released under the MPL 2.0", "mpl-2.0"), ("distributed under the WTFPL", "wtfpl"), ("available under EPL-2.0", "epl-2.0"), ("published under CDDL 1.0", "cddl-1.0"), ("released under EUPL 1.2", "eupl-1.2"), ("Released under the Expat", "mit"), ("licensed under CC\n  BY 4.0", "cc-by-4.0"), ("Redistribution and\nuse in source and binary\n  forms, with or without modification", "bsd"), ("SPDX-License-Identifier: MPL-2.0", "mpl-2.0"), ("placed into the public\ndomain", "public-domain"), ("licensed\nunder the terms\tof the GNU  General\nPublic License 3", "gpl-3.0")):
+        assert [r.label for _, _, r in known.detect(text.lower())] == [label], text
+    for i, rule in enumerate(known.rules):
+        for _ in range(4):
+            text = sample(re._parser.parse(rule.pattern.pattern))
+            assert rule.pattern.search(text) and i in known.wanted(text)
+            text = f"{prose(3)} ({text}), {prose(2)} {sample(re._parser.parse(R.choice(known.rules).pattern.pattern))}"
+            assert known.detect(text) == known.standing(text, every)
+
+
 def test_toxicity(spark):
     insults, clean = ["blorg", "zankest", "zankier"], []
     rows, labels = [], []
