@@ -92,12 +92,12 @@ def blocks(page: str) -> list[Block]:
     stack = [Element("", 0.0, False, 0)]
     parts: list[str] = []
     linked = links = serial = 0
-    own = stack[0]
+    own = stack[0]  # block element of the text in parts
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip() if parts else ""
-        if text and not own.hidden:
+        if text:
             out.append(Block(text, BASE + own.weight + OWN.get(own.tag, 0.0) + _content(text, linked), own.serial, len(stack)))
         parts.clear()
         linked = 0
@@ -107,7 +107,7 @@ def blocks(page: str) -> list[Block]:
         m = _TAG.search(page, at)
         if m is None:
             break
-        if m.start() > at:
+        if m.start() > at and not stack[-1].hidden:
             parts.append(page[at : m.start()])
             linked += (m.start() - at) if links else 0
         at = m.end()
@@ -139,9 +139,7 @@ def blocks(page: str) -> list[Block]:
             links += tag == "a"
         if tag in BLOCK or not parts:
             own = next((e for e in reversed(stack) if e.tag in BLOCK or not e.tag), stack[0])
-            if stack[-1].hidden:
-                own = stack[-1]
-    if at < n:
+    if at < n and not stack[-1].hidden:
         parts.append(page[at:])
         linked += (n - at) if links else 0
     flush()

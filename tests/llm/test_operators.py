@@ -161,6 +161,23 @@ def test_html():
     assert html_extraction.main_text(None) == html_extraction.main_text("<!-- only") == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p><button>Copy</button> Real text.</p>", ["Real text."]),
+        ('<h2><a aria-hidden="true">#</a>Title</h2>', ["Title"]),
+        ("<li><span hidden>x</span> Item</li>", ["Item"]),
+        ("<p>Real <button>Copy</button>text, <select><option>A<option>B</select>more <span style='display: none'>x <b>y</b></span>of it.</p>", ["Real text, more of it."]),
+        ("<p>Seen.</p><div hidden>a <b>b</b><p>c</p></div><p>Also <span hidden>not", ["Seen.", "Also"]),
+    ],
+)
+def test_html_hidden_inline(page, want):
+    found = html_extraction.blocks(page)
+    assert [b.text for b in found] == want
+    plain = html_extraction.blocks(f"<p>{want[0]}</p>")[0].score
+    assert not page.startswith("<p>") or found[0].score == pytest.approx(plain)
+
+
 def brute_cut(gain, edges):
     """Least cost over all labellings."""
     best = None
