@@ -306,12 +306,12 @@ def train(rows: int = 1600, length: int = 24, epochs: int = 8, seed: int = 7) ->
 
 
 def spans(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text; a tagged span inside a base one, or overlapping one, adds nothing of its own and goes."""
+    """(base spans, all spans) of each text; a tagged span inside a base one adds nothing of its own and goes."""
     texts = [t or "" for t in texts]
     out = []
     for text, tagged in zip(texts, field.decode(texts), strict=True):
         base = base_spans(text)
-        more = [(s, len(BASE), e) for s, e in tagged if not any(s < b[2] and b[0] < e for b in base)]
+        more = [(s, len(BASE), e) for s, e in tagged if not any(b[0] <= s and e <= b[2] for b in base)]
         out.append((base, sorted(base + more)))
     return out
 

@@ -422,6 +422,18 @@ def test_licenses(spark):
     assert len(spans) == 1 and spans[0][2].label == "mit"
 
 
+def test_secret_spans_beyond_base():
+    class Tags:
+        def decode(self, texts):
+            return [[(4, 60), (70, 90), (100, 110)] for _ in texts]
+
+    text = "use " + "Zx9_" * 3 + "0123456789abcdef" * 2 + "_Qw7" * 3 + "x " * 4 + " " * 2 + "AKIA" + "B" * 16 + " " * 10 + "ordinary words stand here"
+    base, every = secrets.spans([text], Tags())[0]
+    assert [(s, e) for s, _, e in base] == [(16, 48), (70, 90)]
+    assert every == sorted([*base, (4, len(secrets.BASE), 60), (100, len(secrets.BASE), 110)])
+    assert secrets.redacted(text, every) == f"use [SECRET]{text[60:70]}[SECRET]{text[90:100]}[SECRET]{text[110:]}"
+
+
 def sample(parts):
     """A text that the parsed expression matches; assertions are left to chance."""
     out = ""
