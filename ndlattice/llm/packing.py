@@ -7,14 +7,17 @@ left over are packed by best fit, again length by length.  The plan says for the
 length which sequence and offset it gets; the executors number the pieces of a length and look
 their places up.
 
-Defined cases: a null or empty text is the end token alone; an empty table gives no rows; pieces
-of one length are numbered by doc_id, piece, start and checksum, so repeated rows share their
-places out among themselves whichever way; a null doc_id is kept; other columns are ignored.
+Defined cases: a null or empty text is the end token alone; the text of a token that the file adds
+to its vocabulary (``<|endoftext|>``) is that token, as ``tokenizers`` reads it; white space runs
+of any length are encoded whole; an empty table gives no rows; pieces of one length are numbered
+inside shares of the written rows, so repeated rows share their places out among themselves
+whichever way; a null doc_id is kept; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,25 +26,43 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import chunks, record, settled, shuffle_width
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Split of a byte-level BPE's text into words: fixed by the vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_LOADED: dict[str, tiktoken.Encoding] = {}
+#: tiktoken's matcher keeps a stack frame for each blank of a run and fails beyond some 900,000; texts with longer runs than this go through tokenizers.
+LONG_RUN = 100_000
+_BLANKS = re.compile(r"\s+")
+_LOADED: dict[str, Vocabulary] = {}
 
 
-def tokenizer(path: str) -> tiktoken.Encoding:
-    """The vocabulary of a byte-level BPE file of tokenizers, run by tiktoken, which gives the same ids several times faster."""
-    if path not in _LOADED:
+class Vocabulary:
+    """A byte-level BPE file of tokenizers, run by tiktoken, which gives the same ids several times faster."""
+
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        special = {x["content"] for x in model.get("added_tokens", [])}
-        ranks = {bytes(byte[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
-        _LOADED[path] = tiktoken.Encoding("pack", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.added = {x["content"]: x["id"] for x in model.get("added_tokens", [])}
+        ranks = {bytes(byte[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in self.added}
+        self.fast = tiktoken.Encoding("pack", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=self.added)
+        self.names = set(self.added)
+        self.exact = Tokenizer.from_file(path)
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of tokenizers without added start and end tokens; the text of an added token is that token."""
+        if len(text) >= LONG_RUN and max(map(len, _BLANKS.findall(text)), default=0) >= LONG_RUN:
+            return self.exact.encode(text, add_special_tokens=False).ids
+        return self.fast.encode(text, allowed_special=self.names, disallowed_special=())
+
+
+def vocabulary(path: str) -> Vocabulary:
+    if path not in _LOADED:
+        _LOADED[path] = Vocabulary(path)
     return _LOADED[path]
 
 
@@ -56,7 +77,7 @@ def pieces(docs: DataFrame, path: str, width: int = 1024, end: int = 2) -> DataF
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_ordinary
+        encode = vocabulary(path).encode
         for batch in batches:
             for part in chunks(batch, "text"):
                 out: dict[str, list] = {f.name: [] for f in schema}
@@ -187,8 +208,9 @@ def pack(cut: DataFrame, width: int = 1024) -> DataFrame:
     cut = settled(cut)
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = spark.sparkContext.broadcast(places(plan(histogram, width), width))
-    # a length may hold most pieces: they are numbered in shares, two for each task, and each share starts where the last one ended
-    share = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(2 * shuffle_width(spark)))
+    # a length may hold most pieces: they are numbered in shares, two for each task, and each share starts where the last one ended;
+    # the rows were written above, so a row's place in them, which also splits equal rows, stays the same when a task is run again
+    share = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2 * shuffle_width(spark)))
     cut = cut.withColumn("share", share)
     sizes = cut.groupBy("length", "share").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1))

@@ -322,11 +322,10 @@ def test_profile_distance():
 def test_packing(spark):
     from tokenizers import Tokenizer
 
-    texts = [prose(R.randint(0, 700)) for _ in range(120)] + ["", None, "word " * 3000, "<|endoftext|>"]
+    texts = [prose(R.randint(0, 700)) for _ in range(120)] + ["", None, "word " * 3000, "<|endoftext|>", "a <|endoftext|><|endoftext|> b<|endoftext", " " * 1_200_000 + "end", "a" * 300_000, "\n \t" * 50_000]
     docs = frame(spark, texts).repartition(5)
     got = packing.pack_documents(docs, tokenizer_path()).collect()
     exact = Tokenizer.from_file(tokenizer_path())
-    exact.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for r in got:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -350,6 +349,13 @@ def test_packing(spark):
     assert len(by_sequence) <= -(-total // 1024) * 1.03 + 1
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "x" + " " * 2_000_000 + "x", "a" * 2_000_000, "1" * 400_000, "!?" * 300_000, "\u3000\n" * 120_000, "don't <|endoftext|>  we'll\u00a0 \u2028 x " * 500])
+def test_packing_ids(text):
+    from tokenizers import Tokenizer
+
+    assert packing.vocabulary(tokenizer_path()).encode(text) == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+
+
 def test_packing_plan():
     for n, width in ((0, 8), (1, 8), (500, 16), (5000, 64)):
         lengths = [R.randint(1, width) for _ in range(n)]
