@@ -476,6 +476,22 @@ def test_license_prefilter():
             assert known.detect(text) == known.standing(text, every)
 
 
+def test_license_suppression():
+    """Of all detections of all rules those stand that nothing standing of more priority, or of equal priority and more length, overlaps."""
+    known = licenses.Rules()
+    for _ in range(60):
+        text = " ".join(sample(re._parser.parse(R.choice(known.rules).pattern.pattern)) + R.choice(("", ",", " or")) for _ in range(3))
+        every = sorted(((m.start(), m.end(), i) for i, rule in enumerate(known.rules) for m in rule.pattern.finditer(text)), key=lambda x: (-known.rules[x[2]].priority, x[0] - x[1], x[0], x[2]))
+        want = []
+        for s, e, i in every:
+            if all(e <= a or b <= s for a, b, _ in want):
+                want.append((s, e, known.rules[i]))
+        assert known.detect(text) == sorted(want, key=lambda x: x[0])
+    got = known.detect("the mit license, see opensource.org/licenses/mit, spdx-license-identifier: mit license")
+    assert [(r.label, r.priority) for _, _, r in got][-2:] == [("mit", 4), ("mit", 4)]
+    assert sum(len(block.strip().splitlines()) for block in (licenses.TEXTS, licenses.NOTICES, licenses.TITLES, licenses.LINKS)) > 200
+
+
 def test_toxicity(spark):
     insults, clean = ["blorg", "zankest", "zankier"], []
     rows, labels = [], []
