@@ -508,12 +508,58 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r for r in toxicity.score(docs, scorer).collect()}
     held = [i for i in got if got[i]["held_out"]]
     assert held and all(got[i]["predicted"] == (not clean[i]) for i in held)
-    plain = toxicity.Scorer({}, {"blorg": 3.0})
+    # the grammar decides, not the words alone: denied and quoted insults are not predicted as toxic, and threats need no learned word
+    turned = frame(spark, ["you are a blorg", "she is not a very blorg man", "they wrote that he is a blorg", "i will kill you and hurt them", "i will kill time", None, ""])
+    assert [r["predicted"] for r in toxicity.score(turned, scorer).orderBy("doc_id").collect()] == [1, 0, 0, 1, 0, 0, 0]
+    plain = toxicity.Scorer({}, {"blorg": 7.0})
     assert plain.evidence("you blorg.") > plain.evidence("a blorg.") > plain.evidence("not a blorg.") > 0
     assert plain.evidence("they said blorg.") < plain.evidence("they sang blorg.")
     assert plain.evidence("i will kill you") > 0 == plain.evidence("i will kill time") == plain.evidence(None)
 
 
+def brute_evidence(text, insults):
+    """The grammar in plain words: clause by clause, what is found, aimed, denied and reported."""
+    total = 0.0
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        weight, targeted, insulted, denied_for, reporting = 0.0, False, False, 0, "none"
+        first = ""  # of a threat and a target, which came first in the clause; then "both"
+        for word in re.findall(r"\w+(?:'\w+)?", clause):
+            insult, threat, target = word in insults, word not in insults and word in toxicity.THREATS, word in toxicity.TARGETS
+            if insult:
+                weight += insults[word] + (toxicity.TARGETED if targeted and not insulted else 0)
+                insulted = True
+            if target:
+                weight += toxicity.AT if insulted else 0
+                targeted = True
+            for this, is_it, other in (("threat", threat, "target"), ("target", target, "threat")):
+                if is_it and first == other:
+                    weight, first = weight + toxicity.THREATENED, "both"
+                elif is_it and not first:
+                    first = this
+            if (insult or threat) and denied_for:
+                weight, denied_for = weight + toxicity.DENIED, 0
+            elif word in toxicity.NEGATORS:
+                denied_for = 4
+            elif denied_for and not target and word not in toxicity.REPORTERS and not insult and not threat:
+                denied_for -= 1
+            if (insult or threat) and reporting == "on":
+                weight, reporting = weight + toxicity.REPORTED, "spent"
+            elif word in toxicity.REPORTERS and reporting == "none":
+                reporting = "on"
+        if insulted or first == "both":
+            total += max(0.0, weight)
+    return total
+
+
+def test_toxicity_grammar():
+    insults = {"blorg": 5.5, "zank": 3.25}
+    scorer = toxicity.Scorer({}, insults)
+    pool = ["blorg", "zank", "kill", "hurt", "you", "him", "not", "never", "said", "wrote", "a", "the", "man", "is", ".", "!", "\n"]
+    for _ in range(3000):
+        text = " ".join(R.choice(pool) for _ in range(R.randint(0, 14)))
+        assert scorer.evidence(text) == pytest.approx(brute_evidence(text, insults)), text
+
+
 # --- the pipeline ---------------------------------------------------------------------------------------
 
 
