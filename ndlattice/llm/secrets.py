@@ -103,10 +103,12 @@ def generated(rows: int, length: int, seed: int) -> Iterator[tuple[list[str], li
     chars = lambda s, n: "".join(r.choice(s) for _ in range(n))
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
-    def value() -> str:
-        kind = r.randrange(7)
+    def value(named: bool = False) -> str:
+        kind = r.randrange(8 if named else 7)
         if kind == 0:
-            return chars(digit + "abcdef", r.choice((16, 18, 20, 24, 32, 40, 64)))
+            return chars(digit + r.choice(("abcdef", "abcdef", "ABCDEF")), r.choice((16, 18, 20, 24, 32, 40, 64)))
+        if kind == 7:  # so short a one only beside a name that says so
+            return chars(lower + upper + digit, r.randint(10, 16))
         if kind == 1:
             return chars(lower + upper + digit, r.randint(12, 44))
         if kind == 2:
@@ -144,7 +146,7 @@ def generated(rows: int, length: int, seed: int) -> Iterator[tuple[list[str], li
                 name = r.choice(("", "my_", "client_", "DB_", "aws_")) + r.choice(KEYS[:-1])
                 quote = r.choice(("", '"', "'"))
                 put((name.upper() if r.random() < 0.3 else name) + r.choice(("=", " = ", ": ", '": ', " ", " => ")) + quote)
-                put(value(), BEGIN)
+                put(value(True), BEGIN)
                 put(quote)
             elif x < 0.24:
                 put(value(), BEGIN)
@@ -305,34 +307,39 @@ def train(rows: int = 1600, length: int = 24, epochs: int = 8, seed: int = 7) ->
     return Field(w[:DIM].astype(np.float32).astype(np.float64), steps)
 
 
-def spans(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text; a tagged span inside a base one adds nothing of its own and goes."""
+def tagged_spans(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span], list[Span]]]:
+    """(base spans, all spans, spans tagged by the field) of each text; all spans lack the tagged ones inside a base span."""
     texts = [t or "" for t in texts]
     out = []
-    for text, tagged in zip(texts, field.decode(texts), strict=True):
-        base = base_spans(text)
-        more = [(s, len(BASE), e) for s, e in tagged if not any(b[0] <= s and e <= b[2] for b in base)]
-        out.append((base, sorted(base + more)))
+    for text, found in zip(texts, field.decode(texts), strict=True):
+        base, tagged = base_spans(text), [(s, len(BASE), e) for s, e in found]
+        more = [x for x in tagged if not any(b[0] <= x[0] and x[2] <= b[2] for b in base)]
+        out.append((base, sorted(base + more), tagged))
     return out
 
 
+def spans(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each text; a tagged span inside a base one adds nothing of its own and goes."""
+    return [(base, every) for base, every, _ in tagged_spans(texts, field)]
+
+
 def listed(found: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
 
 
-SCAN = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+SCAN = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, tagged string"
 
 
 def scan(docs: DataFrame, field: Field) -> DataFrame:
-    """SCAN for every row of docs."""
-    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{b[0]}", pa.int64()) for b in BASE), ("base_sha256", pa.string()), ("spans", pa.string())])
+    """SCAN for every row of docs; tagged lists what the field alone tags, also inside base spans."""
+    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{b[0]}", pa.int64()) for b in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("tagged", pa.string())])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                found = spans(part["text"], field)
-                counts = {f"n_{b[0]}": [sum(x[1] == k for x in base) for base, _ in found] for k, b in enumerate(BASE)}
-                yield record(schema, {"doc_id": part["doc_id"], **counts, "base_sha256": [hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found], "spans": [listed(every) for _, every in found]})
+                found = tagged_spans(part["text"], field)
+                counts = {f"n_{b[0]}": [sum(x[1] == k for x in base) for base, _, _ in found] for k, b in enumerate(BASE)}
+                yield record(schema, {"doc_id": part["doc_id"], **counts, "base_sha256": [hashlib.sha256(listed(base).encode()).hexdigest() for base, _, _ in found], "spans": [listed(every) for _, every, _ in found], "tagged": [listed(own) for _, _, own in found]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(look, SCAN)
 
@@ -349,12 +356,13 @@ def redacted(text: str, found: list[Span], mark: str = "[SECRET]") -> str:
 
 
 def redact(docs: DataFrame, field: Field, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of its texts replaced by the mark, n_chars following; null texts stay null."""
+    """docs with every span of its texts replaced by the mark, n_chars (if there is one) following; null texts stay null."""
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 texts = [t if t is None or not every else redacted(t, every, mark) for t, (_, every) in zip(part["text"], spans(part["text"], field), strict=True)]
-                part["n_chars"] = [n if t is None else len(t) for t, n in zip(texts, part["n_chars"], strict=True)]
+                if "n_chars" in part:
+                    part["n_chars"] = [n if t is None else len(t) for t, n in zip(texts, part["n_chars"], strict=True)]
                 yield record(batch.schema, part | {"text": texts})
 
     return docs.mapInArrow(clean, docs.schema)

@@ -413,6 +413,40 @@ def test_secret_field(field):
     assert not base and secrets.redacted(text, every) == "use [SECRET] now"
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_secret_field_on_documents(field):
+    """Secrets of forms that no base pattern knows, put into documents: what the field adds, and what it adds elsewhere."""
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if t]
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    chars = lambda s, n: "".join(R.choice(s) for _ in range(n))
+    forms = (
+        lambda: "ghp_" + chars(letters + digits, 36),
+        lambda: "sk_live_" + chars(letters + digits, 24),
+        lambda: f"xoxb-{chars(digits, 12)}-{chars(digits, 12)}-{chars(letters + digits, 24)}",
+        lambda: "eyJ" + chars(letters + digits, 33) + "." + chars(letters + digits, 60) + "." + chars(letters + digits + "-_", 43),
+        lambda: "AIza" + chars(letters + digits + "_", 35),
+        lambda: chars(letters + digits + "+/", 44) + "=",
+        lambda: chars(digits + "ABCDEF", 40),
+    )
+    caught = planted = 0
+    for i, text in enumerate(texts[::5]):
+        secret, words = forms[i % len(forms)](), text.split(" ")
+        at = R.randrange(len(words) + 1)
+        new = " ".join([*words[:at], secret, *words[at:]])
+        start = len(" ".join(words[:at])) + bool(at)
+        base, every, _ = secrets.tagged_spans([new], field)[0]
+        planted += 1
+        caught += any(s <= start + 1 and e >= start + len(secret) - 1 for s, k, e in every if k == len(secrets.BASE))
+    assert caught >= 0.95 * planted
+    plain = secrets.tagged_spans(texts, field)
+    added = sum(len(every) - len(base) for base, every, _ in plain)
+    assert added <= 0.01 * len(texts)  # nothing was planted here
+    met = [any(s < e and a < b for a, _, b in tagged) for base, _, tagged in plain for s, _, e in base]
+    assert met and np.mean(met) > 0.9  # the field finds the known secrets without the patterns
+
+
 def test_licenses(spark):
     texts = ["Licensed under the Apache License, Version 2.0.", "THE MIT LICENSE and mit  license", "GNU General Public License v3", "Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: BSD-3-Clause", "a licence to print", "We license it"]
     got = licenses.scan(frame(spark, texts)).orderBy("doc_id").collect()
