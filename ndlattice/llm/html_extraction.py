@@ -7,21 +7,31 @@ to the sink.  Consecutive blocks, and blocks that follow one another under one p
 by smoothness edges that grow weaker with their distance in the DOM.  What the source still
 reaches after a maximum flow is content.
 
+The classifier is fitted, and the two smoothness weights are chosen, on labelled pages generated
+from a seed: with semantic elements, with class names only, and with neither, so that its costs
+say how sure it is and short or plain blocks are left to their neighbours.
+
 Defined cases: null html counts as empty and gives an empty text; a page of bare text without
-tags is one block; unclosed tags, comments, scripts and character references at the page's end
-are read as browsers do (an unfinished tag or comment is dropped); no content block -> empty text;
-repeated rows and null ids are extracted one by one; other columns are ignored.
+tags is its own content; what is hidden (the hidden attribute, display:none, aria-hidden, controls
+and scripts) is left out wherever it stands, and the text around it stays; unclosed tags, comments,
+scripts and character references at the page's end are read as browsers do (an unfinished tag or
+comment is dropped); no content block -> empty text; repeated rows and null ids are extracted one
+by one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
+import itertools
 import math
+import random
 import re
 from collections import deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import chunks, record
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']+|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -40,56 +50,57 @@ HIDDEN = frozenset("head select option button datalist svg canvas object audio v
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"br"}
 
-#: Weights of the classifier: towards content above 0.
-BASE = -0.6
-ELEMENTS = {"article": 3.0, "main": 2.5, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -5.0, "header": -2.5, "menu": -4.0, "fieldset": -4.0, "dialog": -4.0, "search": -4.0}
-OWN = {"p": 1.2, "blockquote": 1.0, "pre": 0.8, "h1": 0.8, "h2": 0.6, "h3": 0.5, "li": -0.3, "td": -0.2, "figcaption": 0.3, "legend": -2.0}
+#: Facts of the classifier: elements a block may stand in, elements it may be, words of class names and ids by kind.
+INSIDE = ("article", "main", "nav", "footer", "aside", "form", "header", "menu", "fieldset", "search")
+OWN = ("p", "blockquote", "pre", "h1", "h2", "h3", "li", "td", "figcaption", "legend", "div", "dd")
 WORDS = {
-    -6.0: "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner comment comments commentlist disqus respond reply replies cookie cookies consent gdpr newsletter subscribe subscription signup popup modal overlay paywall",
-    -4.5: "sidebar nav navbar navigation menu footer breadcrumb breadcrumbs masthead share sharing social related recommended recommendations trending widget toolbar pagination pager notice alert login search skip copyright legal disclaimer outbrain taboola",
-    -2.0: "header top bottom meta tags byline author toc hidden",
-    2.0: "article content main story entry post body text prose",
+    "advert": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner outbrain taboola",
+    "reader": "comment comments commentlist disqus respond reply replies",
+    "notice": "cookie cookies consent gdpr newsletter subscribe subscription signup popup modal overlay paywall notice alert login",
+    "around": "sidebar nav navbar navigation menu footer breadcrumb breadcrumbs masthead share sharing social related recommended recommendations trending widget toolbar pagination pager search skip copyright legal disclaimer",
+    "beside": "header top bottom meta tags byline author toc",
+    "text": "article content main story entry post body text prose",
 }
-_WORD_WEIGHTS = {word: w for w, words in WORDS.items() for word in words.split()}
-LINKS, LONG, STOPS, COPYRIGHT = -4.0, 0.35, 0.5, -2.0
-#: Smoothness of neighbours under one parent; each step between their parents divides it further.
-NEXT, SIBLING = 0.9, 0.5
+_KIND = {word: kind for kind, words in WORDS.items() for word in words.split()}
+FACTS = ("base", *(f"in {x}" for x in INSIDE), "in own header", *(f"is {x}" for x in OWN), *(f"class {x}" for x in WORDS), "links", "length", "stops", "copyright")
+_FACT = {name: i for i, name in enumerate(FACTS)}
+#: Smoothness of neighbours in the page and under one parent: the choices; each step between their parents divides it further.
+SMOOTH = ((0.0, 0.0), (0.5, 0.25), (1.0, 0.5), (1.5, 0.8), (2.0, 1.0))
 
 
 class Block(NamedTuple):
     text: str
-    score: float
+    facts: dict[int, float]
     parent: int  # serial number of the element it stands in
     depth: int
 
 
 class Element(NamedTuple):
     tag: str
-    weight: float  # of the element and all around it
+    facts: frozenset[int]  # of the element and all around it
     hidden: bool
     serial: int
 
 
-def _weigh(tag: str, attributes: str, inside: Element | None) -> tuple[float, bool]:
-    weight, hidden = ELEMENTS.get(tag, 0.0), tag in HIDDEN
-    if tag == "header" and inside and inside.weight > 1:
-        weight = 0.0  # an article's own heading
-    if attributes and ("=" in attributes or "hidden" in attributes):
+def _tell(tag: str, attributes: str, inside: Element) -> tuple[frozenset[int], bool]:
+    """Facts of an element within another one, and whether it is hidden."""
+    found, hidden = inside.facts, tag in HIDDEN
+    if tag in INSIDE:
+        name = "in own header" if tag == "header" and (_FACT["in article"] in found or _FACT["in main"] in found) else f"in {tag}"
+        found |= {_FACT[name]}
+    if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
-            name = m[1].lower()
-            value = (m[2] or m[3] or m[4] or "").lower()
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id", "role"):
-                found = [_WORD_WEIGHTS.get(w, 0.0) for w in _NAME.findall(value)]
-                weight += min(found, default=0.0) or max(found, default=0.0)
-            hidden |= name == "style" and "display:none" in value.replace(" ", "") or name == "aria-hidden" and value == "true"
-        hidden |= re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes) is not None
-    return weight, hidden
+                found |= {_FACT[f"class {_KIND[w]}"] for w in _NAME.findall(value) if w in _KIND}
+            hidden |= name == "hidden" or name == "style" and "display:none" in value.replace(" ", "") or name == "aria-hidden" and value == "true"
+    return found, hidden
 
 
 def blocks(page: str) -> list[Block]:
     """Visible blocks of text in page order."""
     out: list[Block] = []
-    stack = [Element("", 0.0, False, 0)]
+    stack = [Element("", frozenset(), False, 0)]
     parts: list[str] = []
     linked = links = serial = 0
     own = stack[0]  # block element of the text in parts
@@ -98,7 +109,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip() if parts else ""
         if text:
-            out.append(Block(text, BASE + own.weight + OWN.get(own.tag, 0.0) + _content(text, linked), own.serial, len(stack)))
+            out.append(Block(text, _facts(text, linked, own), own.serial, len(stack)))
         parts.clear()
         linked = 0
 
@@ -134,8 +145,8 @@ def blocks(page: str) -> list[Block]:
             if tag == "body":  # whatever the head left open ends here
                 stack = [e._replace(hidden=False) for e in stack if e.tag in ("", "html")]
             serial += 1
-            weight, hidden = _weigh(tag, m[3], stack[-1])
-            stack.append(Element(tag, stack[-1].weight + weight, stack[-1].hidden or hidden, serial))
+            told, hidden = _tell(tag, m[3], stack[-1])
+            stack.append(Element(tag, told, stack[-1].hidden or hidden, serial))
             links += tag == "a"
         if tag in BLOCK or not parts:
             own = next((e for e in reversed(stack) if e.tag in BLOCK or not e.tag), stack[0])
@@ -146,14 +157,132 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _content(text: str, linked: int) -> float:
-    """What a block's own text says."""
-    share = min(1.0, linked / len(text))
-    stops = sum(map(text.count, ".!?"))
-    score = LINKS * share + LONG * math.log1p(len(text) / 20) + STOPS * min(3, stops)
-    if "©" in text or "copyright" in text.lower()[:200]:
-        score += COPYRIGHT
-    return score
+def _facts(text: str, linked: int, own: Element) -> dict[int, float]:
+    """All that the classifier knows of a block."""
+    out = dict.fromkeys(own.facts, 1.0)
+    out[0] = 1.0
+    if own.tag in OWN:
+        out[_FACT[f"is {own.tag}"]] = 1.0
+    out[_FACT["links"]] = min(1.0, linked / len(text))
+    out[_FACT["length"]] = math.log1p(len(text) / 20)
+    out[_FACT["stops"]] = min(3, sum(map(text.count, ".!?")))
+    out[_FACT["copyright"]] = float("©" in text or "copyright" in text.lower()[:200])
+    return out
+
+
+class Model(NamedTuple):
+    weights: list[float]
+    following: float
+    sibling: float
+
+    def score(self, block: Block) -> float:
+        """Log odds that a block is content."""
+        return sum(self.weights[i] * x for i, x in block.facts.items())
+
+    def sides(self, found: list[Block]) -> list[bool]:
+        """Which blocks are content: those on the source's side of the minimum cut."""
+        edges, last = [], {}
+        for i, b in enumerate(found):
+            if i:
+                a = found[i - 1]
+                apart = 0 if a.parent == b.parent else 1 + abs(a.depth - b.depth)
+                edges.append((i - 1, i, self.following / (1 + apart)))
+                if (j := last.get(b.depth)) is not None and j < i - 1:
+                    edges.append((j, i, self.sibling / (1 + i - j)))
+            last[b.depth] = i
+        # log(1 + e^s) to call it boilerplate, log(1 + e^-s) to call it content; their difference is s itself
+        return min_cut([self.score(b) for b in found], edges)
+
+
+def generated(pages: int, seed: int) -> Iterator[str]:
+    """Pages whose every text block begins with the word ``yes`` (content) or ``no``."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice(("th", "er", "on", "an", "re", "en", "ment", "ción", "ä", "é", "ung", "st", "le", "que", "ing", "o")) for _ in range(r.choice((1, 1, 2, 2, 3, 4))))
+
+    def say(kind: str, low: int, high: int, stop: float = 0.9) -> str:
+        parts, left = [], r.randint(low, high)
+        while left > 0:
+            n = min(left, r.randint(3, 14))
+            parts.append(" ".join(word() for _ in range(n)).capitalize() + ("." if r.random() < stop else ""))
+            left -= n
+        return f"{kind} {' '.join(parts)}"
+
+    def links(n: int) -> str:
+        return "".join(f'<li><a href="/{word()}">{say("no", 1, 3, 0.05)}</a></li>' for _ in range(n))
+
+    for _ in range(pages):
+        style = r.choice(("semantic", "semantic", "classes", "plain", "bare"))
+        named = lambda kind: f' class="{r.choice(WORDS[kind].split())}"' if r.random() < {"semantic": 0.6, "classes": 1.0}.get(style, 0.1) else ""  # noqa: B023, E731
+        part = lambda tag, kind, body: f"<{tag}{named(kind)}>{body}</{tag}>" if style == "semantic" else f"<div{named(kind)}>{body}</div>"  # noqa: B023, E731
+        body: list[str] = []
+        for _ in range(r.randint(1, 14)):
+            x = r.random()
+            if x < 0.7:
+                body.append(f"<p>{say('yes', 1, 4) if r.random() < 0.25 else say('yes', 8, 90)}</p>" if r.random() < 0.75 else f"<div>{say('yes', 3, 60)}</div>")
+            elif x < 0.8:
+                body.append(f"<h{r.randint(2, 3)}>{say('yes', 2, 9, 0.3)}</h2>")
+            elif x < 0.88:
+                body.append("<ul>" + "".join(f"<li>{say('yes', 2, 20, 0.5)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+            else:
+                tag = r.choice(("blockquote", "pre", "td", "dd", "figcaption"))
+                body.append(f"<{tag}>{say('yes', 3, 30)}</{tag}>")
+            if r.random() < 0.06 and style != "bare":
+                body.append(f"<div{named('advert')}>{say('no', 3, 15)}</div>")
+        if style == "bare":  # a page that is nothing but its text
+            yield "".join(body)
+            continue
+        if r.random() < 0.4:
+            body.insert(0, part("header", "beside", f"<p>{say('no', 2, 6, 0.1)}</p>") if style != "semantic" else f"<p{named('beside')}>{say('no', 2, 5, 0.1)}</p>")
+        if r.random() < 0.25:
+            body.append(f"<form{named('notice')}><p>{say('no', 3, 12)}</p><fieldset><legend>{say('no', 1, 3, 0)}</legend>{say('no', 1, 6, 0.2)}</fieldset></form>")
+        if r.random() < 0.2:
+            body.append(part("section", "reader", "".join(f"<p>{say('no', 3, 40)}</p>" for _ in range(r.randint(1, 4)))))
+        article = "".join([f"<h1>{say('yes', 3, 12, 0.4)}</h1>", *body])
+        article = f"<{r.choice(('article', 'article', 'main'))}>{article}</article></main>" if style == "semantic" else f"<div{named('text')}>{article}</div>"
+        if r.random() < 0.3:
+            article = part("main", "text", article)
+        out = [part("header", "beside", f"<a href='/'>{say('no', 1, 3, 0)}</a>"), part(r.choice(("nav", "nav", "nav", "menu")), "around", f"<ul>{links(r.randint(3, 9))}</ul>")]
+        for chance, made in (
+            (0.6, lambda: f"<div{named('advert')}>{say('no', 3, 18, 0.6)}</div>"),  # noqa: B023
+            (0.2, lambda: f"<search>{say('no', 1, 6, 0.2)}</search>" if style == "semantic" else ""),  # noqa: B023
+            (0.3, lambda: f"<div{named('notice')}><p>{say('no', 5, 25, 0.6)}</p></div>"),  # noqa: B023
+        ):
+            if r.random() < chance:
+                out.insert(r.randrange(len(out) + 1), made())
+        out.append(article)
+        if r.random() < 0.5:
+            out.append(part("aside", "around", f"<h3>{say('no', 1, 3, 0)}</h3>" + (f"<ul>{links(r.randint(2, 6))}</ul>" if r.random() < 0.5 else "".join(f"<p><a href='/'>{say('no', 3, 12, 0.4)}</a></p>" for _ in range(r.randint(1, 4))))))
+        if r.random() < 0.3:
+            out.append(part("section", "reader", "".join(f"<p>{say('no', 3, 40)}</p>" for _ in range(r.randint(1, 5)))))
+        out.append(part("footer", "around", r.choice((f"<p>no &copy; 20{r.randint(10, 25)} {say('', 1, 12)}</p>", f"<p>{say('no', 2, 14, 0.5)}</p>", f"no &copy; {word()}.example.com &middot; {say('', 3, 14)}"))))
+        yield f"<html><body>{''.join(out)}</body></html>"
+
+
+def fit(pages: int = 400, seed: int = 11, steps: int = 300) -> Model:
+    """Logistic regression on the blocks of half the generated pages; the other half chooses the smoothness of the cut."""
+    cut = [blocks(page) for page in generated(pages, seed)]
+    truth = [[b.text.startswith("yes") for b in found] for found in cut]
+    half = pages // 2
+    x = np.zeros((sum(map(len, cut[:half])), len(FACTS)))
+    for row, block in enumerate(itertools.chain.from_iterable(cut[:half])):
+        for i, v in block.facts.items():
+            x[row, i] = v
+    y = np.array([*itertools.chain.from_iterable(truth[:half])], float)
+    w = np.zeros(len(FACTS))
+    for _ in range(steps):  # Newton's method with a ridge, which keeps rare facts modest
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (y - p) - w)
+        w += move
+        if abs(move).max() < 1e-6:
+            break
+    models = [Model([round(float(v), 6) for v in w], *smooth) for smooth in SMOOTH]
+    wrong = [sum(map(bool.__ne__, itertools.chain.from_iterable(map(m.sides, cut[half:])), itertools.chain.from_iterable(truth[half:]))) for m in models]
+    return models[min(range(len(models)), key=lambda i: (wrong[i], i))]
+
+
+@functools.cache
+def fitted() -> Model:
+    return fit()
 
 
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -225,21 +354,11 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
                 a = to[path.pop() ^ 1]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, model: Model | None = None) -> str:
     found = blocks(page or "")
-    if not found:
-        return ""
-    edges, last = [], {}
-    for i, b in enumerate(found):
-        if i:
-            a = found[i - 1]
-            apart = 0 if a.parent == b.parent else 1 + abs(a.depth - b.depth)
-            edges.append((i - 1, i, NEXT / (1 + apart)))
-            if (j := last.get(b.depth)) is not None and j < i - 1:
-                edges.append((j, i, SIBLING / (1 + i - j)))
-        last[b.depth] = i
-    # log(1 + e^s) to call it boilerplate, log(1 + e^-s) to call it content; their difference is s itself
-    side = min_cut([b.score for b in found], edges)
+    if found and _TAG.search(page) is None:
+        return found[0].text
+    side = (model or fitted()).sides(found)
     return " ".join(b.text for b, content in zip(found, side, strict=True) if content)
 
 
@@ -249,11 +368,12 @@ TEXT = "page_id long, url string, text string, n_chars long"
 def extract(pages: DataFrame) -> DataFrame:
     """TEXT for every row of pages."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+    model = fitted()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "html"):
-                texts = [main_text(x) for x in part["html"]]
+                texts = [main_text(x, model) for x in part["html"]]
                 yield record(schema, {"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": [len(x) for x in texts]})
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(read, TEXT)
