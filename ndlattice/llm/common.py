@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,17 +25,29 @@ def fold(doc_id: Column) -> Column:
 def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder all executors share (spark.checkpoint.dir).
 
-    Only a session without that setting (tests, a single machine) gets a folder of its own.
+    Only a session without that setting on a single machine (tests) gets a folder of its own, in its warehouse.
     """
     sc = df.sparkSession.sparkContext
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if shared is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
-    elif shared is not None and sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if shared is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints"
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
+def look_up(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, shares: int = 1000) -> DataFrame:
+    """left joined with right, whose keys are unique; weight: how many of left's rows (total in all) have a row's key.
+
+    Keys that hold more than one of so many shares of left's rows are fewer than shares: they are broadcast, so that no task gathers such a key's rows.
+    """
+    often = F.col(weight) > total / shares
+    hot = F.broadcast(right.where(often))
+    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(right.where(~often), on))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -339,15 +339,41 @@ def test_ngram_join(spark, block, monkeypatch):
     for a in distinct:
         for b in linked[a]:
             group[root(a)] = root(b)
-    found = sum(got[i]["n_links"] for i in range(len(texts)))
-    assert found >= 0.995 * sum(len(linked[s]) for s in sets)
+    forms = {a: len({t or "" for t, b in zip(texts, sets, strict=True) if a == b}) for a in distinct}
+    assert max(forms.values()) == 2
     for i, s in enumerate(sets):
         same = [j for j, t in enumerate(sets) if t == s]
-        assert got[i]["copy_of"] == min(same) and got[i]["n_copies"] == len(same) and got[i]["n_links"] == len(linked[s])
+        assert got[i]["copy_of"] == min(same) and got[i]["n_copies"] == len(same) and got[i]["n_texts"] == forms[s]
+        assert got[i]["n_links"] == (sum(forms[a] for a in linked[s]) + forms[s] - 1 if s else 0)
         assert got[i]["class_id"] == min(j for j, t in enumerate(sets) if root(t) == root(s))
         assert got[i]["keep"] == (got[i]["class_id"] == i)
-    kept = sorted(r["doc_id"] for r in ngram_join.keep_one(frame(spark, texts)).collect())
-    assert kept == sorted({r["class_id"] for r in got.values()})
+    docs = frame(spark, texts).withColumns({"row": F.col("doc_id") * 2, "row_": F.lit("x")})
+    kept = ngram_join.keep_one(docs.union(docs.where("doc_id < 3")))
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.where("row = doc_id * 2 and row_ = 'x'").collect()) == sorted({r["class_id"] for r in got.values()})
+
+
+def test_ngram_join_of_equal_rows(spark):
+    """Rows that repeat, by themselves and beside near copies, link as one text; a thousand texts without words are one class."""
+    base = [f"v{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "end"])
+    docs = frame(spark, [" ".join(base)] * 3 + [near] + [" "] * 500, [7, 7, 7, None] + list(range(100, 600)))
+    got = ngram_join.join(docs.repartition(5)).collect()
+    assert len(got) == 504
+    linked = sorted((r["doc_id"] or -1, r["class_id"], r["n_copies"], r["n_texts"], r["n_links"], r["keep"]) for r in got if r["doc_id"] is None or r["doc_id"] < 100)
+    assert linked == [(-1, 7, 1, 1, 1, False), *[(7, 7, 3, 1, 1, True)] * 3]
+    assert {(r["class_id"], r["n_copies"], r["n_links"]) for r in got if (r["doc_id"] or 0) >= 100} == {(100, 500, 0)}
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one(docs).collect()) == [7, 100]
+
+
+def test_components(spark):
+    """A star, a path and a clique against union-find."""
+    from pyspark.sql import functions as F
+
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(500, 560)] + [(i, j) for i in range(600, 610) for j in range(600, i)] + [(700, 700)]
+    df = spark.createDataFrame([(f"{max(e):04d}".encode(), f"{min(e):04d}".encode()) for e in edges], "node binary, root binary").repartition(3)
+    got = {int(r["node"]): int(r["label"]) for r in ngram_join.components(df).select(F.col("node").cast("string"), F.col("label").cast("string")).collect()}
+    assert got == {**dict.fromkeys(range(400), 0), **dict.fromkeys(range(500, 561), 500), **dict.fromkeys(range(600, 610), 600)}
 
 
 def test_banding_recall():
