@@ -210,7 +210,7 @@ def links(docs: DataFrame, reps: DataFrame, n: int, threshold: float) -> DataFra
 
     shape = "band int, h long, low int, high int, side int, node binary, row binary, n_texts int, bands array<long>"
     wanted = held.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(first, shape)
-    texts = docs.select(row_key().alias("row"), "text").distinct()  # equal rows meet before the shuffle
+    texts = docs.select(row_key().alias("row"), "text").dropDuplicates(["row"])  # in each task before the shuffle, which the join then shares
     filled = wanted.join(texts, "row").select(*keys, "side", "node", "n_texts", "bands", "text")
     schema = pa.schema([("node", pa.binary()), ("root", pa.binary()), ("n", pa.int64())])
 
