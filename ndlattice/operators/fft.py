@@ -17,7 +17,7 @@ from .shape import moveaxis
 
 
 def _last(a: NdFrame, f: Callable[[np.ndarray], np.ndarray], n: int, dtype: str = "complex128") -> NdFrame:
-    return lines(a, 1, f, (n,), dtype)
+    return lines(a, 1, f, (n,), dtype, stacked=True)
 
 
 def _length(n: int) -> int:

@@ -6,64 +6,72 @@ A matrix must fit a task.  For tables with many rows and few columns, ``lstsq_ta
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import NdFrame
+from ..meta import strides
 
 
-def lines(a: NdFrame, core: int, f: Callable[..., np.ndarray], shape: Sequence[int], dtype: str = "float64", other: NdFrame | None = None, other_core: int = 0) -> NdFrame:
+def _gathered(a: NdFrame, keys: Sequence[str], core: int, name: str) -> DataFrame:
+    """A row for each place of the leading axes: keys and the cells behind them as one array, in row-major order."""
+    flat, step = F.lit(0).cast("long"), 1
+    for k in range(a.ndim - 1, a.ndim - core - 1, -1):
+        flat, step = flat + F.col(f"i{k}") * step, step * a.shape[k]
+    cells = F.array_sort(F.collect_list(F.struct(flat.alias("at"), F.col("v").alias("v"))))
+    return a.df.groupBy(*keys).agg(F.transform(cells, lambda c: c["v"]).alias(name))
+
+
+def _dense(column: pa.Array, sizes: Sequence[int]) -> list[np.ndarray]:
+    """An array of the given sizes for every row; nulls are NaN."""
+    flat = column.flatten()
+    if pa.types.is_struct(flat.type):
+        values = flat.field("re").to_numpy(zero_copy_only=False) + 1j * flat.field("im").to_numpy(zero_copy_only=False)
+    else:
+        values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return list(values.reshape((len(column), *sizes)))
+
+
+def lines(a: NdFrame, core: int, f: Callable[..., np.ndarray], shape: Sequence[int], dtype: str = "float64", other: NdFrame | None = None, other_core: int = 0, stacked: bool = False) -> NdFrame:
     """f over the last ``core`` axes of every place of the others; its results have the given shape.
 
-    With a second frame, f gets both parts of a place.
+    With a second frame, f gets both parts of a place; stacked: f takes a whole batch of places at once.
+    The cells of a place are gathered in the JVM and reach Python as one array, many places in a batch.
     """
     lead = a.ndim - core
-    sizes = a.shape[lead:]
     keys = [f"i{k}" for k in range(lead)]
-    out_names = [*keys, *(f"i{lead + k}" for k in range(len(shape)))]
-    is_complex = dtype.startswith("complex")
-    kind = "struct<re:double,im:double>" if is_complex else "double"
-    schema = ", ".join([*(f"{n} long" for n in out_names), f"v {kind}"])
-
-    def dense(pdf: pd.DataFrame, sizes: Sequence[int], names: Sequence[str]) -> np.ndarray:
-        values = pdf["v"]
-        if len(values) and isinstance(values.iloc[0], dict):
-            flat = np.array([complex(x["re"], x["im"]) for x in values])
-        else:
-            flat = values.to_numpy(float)
-        out = np.zeros(sizes, flat.dtype)
-        out[tuple(pdf[n].to_numpy() for n in names)] = flat
-        return out
-
-    def cells(key: tuple, result: np.ndarray) -> pd.DataFrame:
-        result = np.asarray(result).reshape(shape)
-        data = {n: np.full(result.size, k) for n, k in zip(keys, key, strict=True)}
-        data |= {n: i.ravel() for n, i in zip(out_names[lead:], np.indices(result.shape), strict=True)}
-        flat = result.ravel()
-        data["v"] = [{"re": float(x.real), "im": float(x.imag)} for x in flat] if is_complex else flat.astype(float)
-        return pd.DataFrame(data, columns=[*out_names, "v"])
-
-    names = [f"i{lead + k}" for k in range(core)]
-    groups = a.df.select(*a.idx, "v").groupBy(*keys) if keys else a.df.select(*a.idx, "v").groupBy(F.lit(0))
-    if other is None:
-        def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return cells(key[:lead], f(dense(pdf, sizes, names)))
-
-        df = groups.applyInPandas(one, schema)
-    else:
-        other_sizes = other.shape[other.ndim - other_core :]
-        other_names = [f"i{other.ndim - other_core + k}" for k in range(other_core)]
-        others = other.df.select(*other.idx, "v").groupBy(*keys) if keys else other.df.select(*other.idx, "v").groupBy(F.lit(0))
-
-        def two(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return cells(key[:lead], f(dense(left, sizes, names), dense(right, other_sizes, other_names)))
-
-        df = groups.cogroup(others).applyInPandas(two, schema)
-    return NdFrame(df, (*a.shape[:lead], *shape), dtype)
+    kind = "struct<re:double,im:double>" if dtype.startswith("complex") else "double"
+    rows = _gathered(a, keys, core, "x")
+    two = other is not None
+    sizes, other_sizes = a.shape[lead:], () if other is None else other.shape[other.ndim - other_core :]
+    if other is not None:
+        theirs = _gathered(other, keys, other_core, "y")
+        rows = rows.join(theirs, keys) if keys else rows.crossJoin(theirs)  # without keys a row each
+    out_type = pa.list_(pa.struct([("re", pa.float64()), ("im", pa.float64())]) if dtype.startswith("complex") else pa.float64())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [_dense(batch.column(lead), sizes)] + ([_dense(batch.column(lead + 1), other_sizes)] if two else [])
+            found = f(*map(np.stack, parts)) if stacked else np.stack([np.asarray(f(*one)) for one in zip(*parts, strict=True)])
+            found = np.asarray(found).reshape(batch.num_rows, -1)
+            if dtype.startswith("complex"):
+                flat = pa.StructArray.from_arrays([pa.array(found.real.ravel().astype(float)), pa.array(found.imag.ravel().astype(float))], ["re", "im"])
+            else:
+                flat = pa.array(found.ravel().astype(float))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:lead], lists.cast(out_type)], names=[*keys, "v"])
+
+    done = rows.mapInArrow(work, ", ".join([*(f"{k} long" for k in keys), f"v array<{kind}>"]))
+    cells = done.select(*keys, F.posexplode("v").alias("__at", "v"))
+    steps = strides(shape)
+    own = [F.pmod(F.call_function("div", F.col("__at").cast("long"), F.lit(step)), F.lit(n)).cast("long").alias(f"i{lead + k}") for k, (n, step) in enumerate(zip(shape, steps, strict=True))]
+    return NdFrame(cells.select(*keys, *own, "v"), (*a.shape[:lead], *shape), dtype)
 
 
 def _square(a: NdFrame) -> int:
@@ -74,17 +82,17 @@ def _square(a: NdFrame) -> int:
 
 def inv(a: NdFrame) -> NdFrame:
     n = _square(a)
-    return lines(a, 2, np.linalg.inv, (n, n))
+    return lines(a, 2, np.linalg.inv, (n, n), stacked=True)
 
 
 def det(a: NdFrame) -> NdFrame:
     _square(a)
-    return lines(a, 2, np.linalg.det, ())
+    return lines(a, 2, np.linalg.det, (), stacked=True)
 
 
 def slogdet(a: NdFrame) -> tuple[NdFrame, NdFrame]:
     _square(a)
-    return lines(a, 2, lambda m: np.linalg.slogdet(m)[0], ()), lines(a, 2, lambda m: np.linalg.slogdet(m)[1], ())
+    return lines(a, 2, lambda m: np.linalg.slogdet(m)[0], (), stacked=True), lines(a, 2, lambda m: np.linalg.slogdet(m)[1], (), stacked=True)
 
 
 def solve(a: NdFrame, b: NdFrame) -> NdFrame:
@@ -100,7 +108,7 @@ def lstsq(a: NdFrame, b: NdFrame, rcond: float | None = None) -> dict[str, NdFra
 
 
 def cond(a: NdFrame) -> NdFrame:
-    return lines(a, 2, np.linalg.cond, ())
+    return lines(a, 2, np.linalg.cond, (), stacked=True)
 
 
 def eig(a: NdFrame) -> tuple[NdFrame, NdFrame]:
@@ -110,11 +118,11 @@ def eig(a: NdFrame) -> tuple[NdFrame, NdFrame]:
 
 def eigh(a: NdFrame, upper: bool = False) -> tuple[NdFrame, NdFrame]:
     n, side = _square(a), "U" if upper else "L"
-    return lines(a, 2, lambda m: np.linalg.eigh(m, side)[0], (n,)), lines(a, 2, lambda m: np.linalg.eigh(m, side)[1], (n, n))
+    return lines(a, 2, lambda m: np.linalg.eigh(m, side)[0], (n,), stacked=True), lines(a, 2, lambda m: np.linalg.eigh(m, side)[1], (n, n), stacked=True)
 
 
 def eigvals(a: NdFrame) -> NdFrame:
-    return lines(a, 2, np.linalg.eigvals, (_square(a),), "complex128")
+    return lines(a, 2, np.linalg.eigvals, (_square(a),), "complex128", stacked=True)
 
 
 def eigvalsh(a: NdFrame, upper: bool = False) -> NdFrame:
@@ -129,7 +137,7 @@ def svd(a: NdFrame, full_matrices: bool = True) -> tuple[NdFrame, NdFrame, NdFra
 
 
 def svdvals(a: NdFrame) -> NdFrame:
-    return lines(a, 2, lambda x: np.linalg.svd(x, compute_uv=False), (min(a.shape[-2:]),))
+    return lines(a, 2, lambda x: np.linalg.svd(x, compute_uv=False), (min(a.shape[-2:]),), stacked=True)
 
 
 def qr(a: NdFrame) -> tuple[NdFrame, NdFrame]:
@@ -140,7 +148,7 @@ def qr(a: NdFrame) -> tuple[NdFrame, NdFrame]:
 
 def cholesky(a: NdFrame) -> NdFrame:
     n = _square(a)
-    return lines(a, 2, np.linalg.cholesky, (n, n))
+    return lines(a, 2, np.linalg.cholesky, (n, n), stacked=True)
 
 
 def matrix_rank(a: NdFrame, tol: float | None = None) -> NdFrame:

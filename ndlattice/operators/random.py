@@ -19,39 +19,52 @@ from ..sources.creation import cells
 Shape = Sequence[int]
 
 
-def _u(seed: int) -> Column:
+#: The seed of calls that give none.
+_default = [12345]
+
+
+def random_seed(seed: int) -> None:
+    """The seed of all later calls that give none; each such call with the same arguments draws the same numbers."""
+    _default[0] = int(seed)
+
+
+def _seed(seed: int | None) -> int:
+    return _default[0] if seed is None else seed
+
+
+def _u(seed: int | None) -> Column:
     """Uniform over [0, 1)."""
-    return F.rand(seed)
+    return F.rand(_seed(seed))
 
 
 def _made(spark: SparkSession, shape: Shape, value: Column, dtype: str = "float64") -> NdFrame:
     return NdFrame(cells(spark, shape).withColumn("v", value.cast("int") if dtype == "int32" else value), shape, dtype)
 
 
-def random(spark: SparkSession, shape: Shape, seed: int = 12345) -> NdFrame:
+def random(spark: SparkSession, shape: Shape, seed: int | None = None) -> NdFrame:
     return _made(spark, shape, _u(seed))
 
 
-def uniform(spark: SparkSession, low: float, high: float, shape: Shape, seed: int = 12345) -> NdFrame:
+def uniform(spark: SparkSession, low: float, high: float, shape: Shape, seed: int | None = None) -> NdFrame:
     return _made(spark, shape, low + (high - low) * _u(seed))
 
 
-def normal(spark: SparkSession, mean: float, std: float, shape: Shape, seed: int = 12345) -> NdFrame:
-    return _made(spark, shape, mean + std * F.randn(seed))
+def normal(spark: SparkSession, mean: float, std: float, shape: Shape, seed: int | None = None) -> NdFrame:
+    return _made(spark, shape, mean + std * F.randn(_seed(seed)))
 
 
-def standard_normal(spark: SparkSession, shape: Shape, seed: int = 12345) -> NdFrame:
+def standard_normal(spark: SparkSession, shape: Shape, seed: int | None = None) -> NdFrame:
     return normal(spark, 0.0, 1.0, shape, seed)
 
 
-def randint(spark: SparkSession, low: int, high: int, shape: Shape, seed: int = 12345) -> NdFrame:
+def randint(spark: SparkSession, low: int, high: int, shape: Shape, seed: int | None = None) -> NdFrame:
     """Half-open."""
     if not -(1 << 31) <= low < high <= 1 << 31:
         raise ValueError("bounds must be 32-bit and in order")
     return _made(spark, shape, F.floor(_u(seed) * (high - low)) + low, "int32")
 
 
-def integers(spark: SparkSession, low: int, high: int, shape: Shape, seed: int = 12345) -> NdFrame:
+def integers(spark: SparkSession, low: int, high: int, shape: Shape, seed: int | None = None) -> NdFrame:
     """Inclusive."""
     return randint(spark, low, high + 1, shape, seed)
 
@@ -72,7 +85,7 @@ INVERSES: dict[str, Callable[..., Column]] = {
 }
 
 
-def inverse(spark: SparkSession, name: str, shape: Shape, *args: float, seed: int = 12345) -> NdFrame:
+def inverse(spark: SparkSession, name: str, shape: Shape, *args: float, seed: int | None = None) -> NdFrame:
     """A distribution of INVERSES."""
     held = cells(spark, shape).withColumn("__u", _u(seed))  # drawn once, used several times
     dtype = "int32" if name == "geometric" else "float64"
@@ -92,16 +105,16 @@ def _draw(r: np.random.Generator, name: str, args: Sequence[float], n: int) -> n
     return getattr(r, name)(*args, n)
 
 
-def sample(spark: SparkSession, name: str, shape: Shape, *args: float, seed: int = 12345) -> NdFrame:
+def sample(spark: SparkSession, name: str, shape: Shape, *args: float, seed: int | None = None) -> NdFrame:
     """A distribution of SAMPLERS."""
     if name not in SAMPLERS:
         raise ValueError(f"no sampler {name}")
-    grid = cells(spark, shape)
+    grid, own = cells(spark, shape), _seed(seed)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                r = np.random.default_rng([seed, *(int(x) for x in b.iloc[0])])
+                r = np.random.default_rng([own, *(int(x) for x in b.iloc[0])])
                 yield b.assign(v=_draw(r, name, args, len(b)).astype(float))
 
     dtype = "int32" if name in WHOLE else "float64"
@@ -109,42 +122,44 @@ def sample(spark: SparkSession, name: str, shape: Shape, *args: float, seed: int
     return NdFrame(df.withColumn("v", F.col("v").cast("int")) if dtype == "int32" else df, shape, dtype)
 
 
-def _rows(spark: SparkSession, size: int, width: int, seed: int, draw: Callable[[np.random.Generator, int], np.ndarray], dtype: str = "float64") -> NdFrame:
+def _rows(spark: SparkSession, size: int, width: int, seed: int | None, draw: Callable[[np.random.Generator, int], np.ndarray], dtype: str = "float64") -> NdFrame:
     """Vectors of a joint distribution, one a row."""
+    own = _seed(seed)
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = draw(np.random.default_rng([seed, int(b["id"].iloc[0])]), len(b))
+                x = draw(np.random.default_rng([own, int(b["id"].iloc[0])]), len(b))
                 yield pd.DataFrame({"i0": np.repeat(b["id"].to_numpy(), width), "i1": np.tile(np.arange(width), len(b)), "v": x.ravel().astype(float)})
 
     df = spark.range(size).mapInPandas(each, "i0 long, i1 long, v double")
     return NdFrame(df.withColumn("v", F.col("v").cast("int")) if dtype == "int32" else df, (size, width), dtype)
 
 
-def dirichlet(spark: SparkSession, alpha: Sequence[float], size: int, seed: int = 12345) -> NdFrame:
+def dirichlet(spark: SparkSession, alpha: Sequence[float], size: int, seed: int | None = None) -> NdFrame:
     return _rows(spark, size, len(alpha), seed, lambda r, n: r.dirichlet(alpha, n))
 
 
-def multinomial(spark: SparkSession, n: int, p: Sequence[float], size: int, seed: int = 12345) -> NdFrame:
+def multinomial(spark: SparkSession, n: int, p: Sequence[float], size: int, seed: int | None = None) -> NdFrame:
     return _rows(spark, size, len(p), seed, lambda r, m: r.multinomial(n, p, m), "int32")
 
 
-def multivariate_normal(spark: SparkSession, mean: Sequence[float], cov: Sequence[Sequence[float]], size: int, seed: int = 12345) -> NdFrame:
+def multivariate_normal(spark: SparkSession, mean: Sequence[float], cov: Sequence[Sequence[float]], size: int, seed: int | None = None) -> NdFrame:
     return _rows(spark, size, len(mean), seed, lambda r, n: r.multivariate_normal(mean, cov, n))
 
 
-def choice(a: NdFrame, size: int, replace: bool = True, p: NdFrame | None = None, seed: int = 12345) -> NdFrame:
+def choice(a: NdFrame, size: int, replace: bool = True, p: NdFrame | None = None, seed: int | None = None) -> NdFrame:
     """Draws from a vector, with or without replacement, with weights if given."""
     n, spark = a.size, a.df.sparkSession
     if not replace:
         if size > n:
             raise ValueError("more draws than values")
         # a smaller key the likelier: exponential clocks
-        clock = F.rand(seed) if p is None else -F.log1p(-F.rand(seed)) / F.col("w")
+        clock = F.rand(_seed(seed)) if p is None else -F.log1p(-F.rand(_seed(seed))) / F.col("w")
         rows = a.df if p is None else a.df.join(p.df.withColumnRenamed("v", "w"), "i0").where("w > 0")
         first = rows.withColumn("__c", clock).orderBy("__c", "i0").limit(size)
         return NdFrame(positions(first.select("v", "__c", F.col("i0").alias("__i")), F.col("__c"), F.col("__i")).select("i0", "v"), (size,), a.dtype)
-    draws = spark.range(size).select(F.col("id").alias("i0"), F.rand(seed).alias("u"))
+    draws = spark.range(size).select(F.col("id").alias("i0"), F.rand(_seed(seed)).alias("u"))
     if p is None:
         wanted = draws.select("i0", F.floor(F.col("u") * n).alias("__at"))
         return NdFrame(wanted.join(a.df.select(F.col("i0").alias("__at"), "v"), "__at").select("i0", "v"), (size,), a.dtype)
@@ -156,9 +171,9 @@ def choice(a: NdFrame, size: int, replace: bool = True, p: NdFrame | None = None
     return NdFrame(found.join(a.df.select(F.col("i0").alias("__at"), "v"), "__at").select("i0", "v"), (size,), a.dtype)
 
 
-def permutation(a: NdFrame, seed: int = 12345) -> NdFrame:
+def permutation(a: NdFrame, seed: int | None = None) -> NdFrame:
     """Rows in random order."""
-    order = positions(a.df.select(F.col("i0").alias("__from")).distinct().withColumn("__r", F.xxhash64(F.lit(seed), "__from")), F.col("__r"), F.col("__from"), name="__to")
+    order = positions(a.df.select(F.col("i0").alias("__from")).distinct().withColumn("__r", F.xxhash64(F.lit(_seed(seed)), "__from")), F.col("__r"), F.col("__from"), name="__to")
     df = a.df.join(order.select("__from", "__to"), F.col("i0") == F.col("__from")).withColumn("i0", F.col("__to")).drop("__to", "__from")
     return NdFrame(df.select(*a.idx, "v"), a.shape, a.dtype)
 
@@ -170,5 +185,15 @@ def random_bytes(n: int, seed: int | None = None) -> bytes:
     return np.random.default_rng(seed).bytes(n)
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 12345) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed)
+def matlib_rand(spark: SparkSession, *shape: int, seed: int | None = None) -> NdFrame:
+    """Uniform numbers as a matrix; one size makes a row."""
+    return random(spark, shape if len(shape) > 1 else (1, *shape), seed)
+
+
+def matlib_randn(spark: SparkSession, *shape: int, seed: int | None = None) -> NdFrame:
+    """Standard normal numbers as a matrix; one size makes a row."""
+    return standard_normal(spark, shape if len(shape) > 1 else (1, *shape), seed)
+
+
+def sample_rows(df: DataFrame, fraction: float, seed: int | None = None) -> DataFrame:
+    return df.sample(fraction=fraction, seed=_seed(seed))

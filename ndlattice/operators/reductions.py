@@ -5,6 +5,7 @@ Aggregates are also exported as Column functions (``agg_*``) for ordinary groupe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -177,13 +178,28 @@ def sum(a: NdFrame, axis: int | None = None, dtype: str | None = None, keepdims:
     return reduce(a, axis, total, to, keepdims)
 
 
+#: Factors that are multiplied in one go.
+FACTORS = 4096
+
+
 def prod(a: NdFrame, axis: int | None = None, dtype: str | None = None) -> NdFrame:
-    """Integers multiply exactly and wrap: their factors are collected line by line."""
+    """Integers multiply exactly and wrap: some thousand factors at a time, then their products."""
     to = dtype or accumulator(a.dtype)
     if to.startswith("float"):
         return reduce(a, axis, lambda v: F.coalesce(F.product(v), F.lit(1.0)).cast(SPARK[to]), to)
-    exact = lambda v: cast(F.aggregate(F.collect_list(v.cast("long")), F.lit(1).cast("long"), lambda x, y: x * y), "int64", to)
-    return reduce(a, axis, exact, to)
+    gone = list(range(a.ndim)) if axis is None else [checked_axis(axis, a.ndim)]
+    keys = [f"i{k}" for k in range(a.ndim) if k not in gone]
+    left = math.prod(a.shape[k] for k in gone)
+    at = F.lit(0).cast("long")
+    for k in gone:
+        at = at * a.shape[k] + F.col(f"i{k}")
+    rows = a.df.select(*keys, at.alias("__at"), F.col("v").cast("long").alias("v"))
+    exact = F.aggregate(F.collect_list("v"), F.lit(1).cast("long"), lambda x, y: x * y).alias("v")
+    while left > FACTORS:
+        left = -(-left // FACTORS)
+        rows = rows.groupBy(*keys, F.pmod("__at", F.lit(left)).alias("__at")).agg(exact)
+    rows = rows.groupBy(*keys).agg(exact)
+    return NdFrame(rows.select(*(F.col(k).alias(f"i{j}") for j, k in enumerate(keys)), cast(F.col("v"), "int64", to).alias("v")), [n for k, n in enumerate(a.shape) if k not in gone], to)
 
 
 def _float(a: NdFrame) -> str:
@@ -363,7 +379,7 @@ def histogram(df: DataFrame, value: Column, bins: int, low: float | None = None,
             raise ValueError("the automatic range is not finite")
         low, high = (low - 0.5, high + 0.5) if low == high else (low, high)
     found = df.select(histogram_bin(value.cast("double"), bins, low, high).alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
-    return df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(F.broadcast(found), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("count"))
+    return df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("count"))
 
 
 def histogram2d(df: DataFrame, x: Column, y: Column, bins: int) -> DataFrame:
@@ -372,7 +388,7 @@ def histogram2d(df: DataFrame, x: Column, y: Column, bins: int) -> DataFrame:
     xl, xh, yl, yh = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     found = df.select(histogram_bin(x, bins, xl, xh).alias("x_bin"), histogram_bin(y, bins, yl, yh).alias("y_bin")).groupBy("x_bin", "y_bin").agg(F.count("*").alias("n"))
     every = df.sparkSession.range(bins * bins).select(F.call_function("div", F.col("id"), F.lit(bins)).alias("x_bin"), (F.col("id") % bins).alias("y_bin"))
-    return every.join(F.broadcast(found), ["x_bin", "y_bin"], "left").select("x_bin", "y_bin", F.coalesce("n", F.lit(0)).cast("double").alias("count"))
+    return every.join(found, ["x_bin", "y_bin"], "left").select("x_bin", "y_bin", F.coalesce("n", F.lit(0)).cast("double").alias("count"))
 
 
 def bincount(df: DataFrame, value: Column, weights: Column | None = None, minlength: int = 0) -> DataFrame:

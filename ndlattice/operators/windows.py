@@ -7,14 +7,16 @@ ordered table in ranges, so that no task holds more than its share.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import NdFrame
 from ..functions import elementwise as E
-from ..meta import accumulator
+from ..meta import SPARK, accumulator
 from ..plans.ordered import positions, running
 from .shape import ravel
 
@@ -106,16 +108,38 @@ def unwrap(a: NdFrame, discont: float = math.pi) -> NdFrame:
     return NdFrame(df.withColumn("v", F.col("v") + F.sum("__fix").over(_so_far(a, axis))).drop("__fix"), a.shape)
 
 
+#: Cells in one block of a convolution.
+BLOCK = 8192
+
+
 def convolve(a: NdFrame, kernel: NdFrame, mode: str = "full") -> NdFrame:
-    """Every cell is sent to the places it adds to; the kernel, the shorter one, travels in the rows."""
+    """Both arrays are cut into blocks; every pair of blocks is convolved by itself and the overlaps add up.
+
+    A kernel of one block is broadcast, its size being known; a longer one is joined block by block.
+    """
     if kernel.size > a.size:
         a, kernel = kernel, a
     n, m = a.size, kernel.size
-    taps = kernel.df.agg(F.array_sort(F.collect_list(F.struct("i0", "v"))).alias("taps"))
-    rows = a.df.join(F.broadcast(taps)).select(F.col("i0").alias("i"), F.col("v").alias("x"), F.explode("taps").alias("t"))
+    taps = _blocks(kernel, "kernel_block", "taps")
+    rows = _blocks(a, "block", "cells").withColumn("kernel_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((m - 1) // BLOCK).cast("long"))))
+    rows = rows.join(F.broadcast(taps) if m <= BLOCK else taps, "kernel_block")
     low, size = {"full": (0, n + m - 1), "same": ((m - 1) // 2, n), "valid": (m - 1, n - m + 1)}[mode]
-    out = rows.groupBy((F.col("i") + F.col("t.i0") - low).alias("i0")).agg(F.sum(F.col("x") * F.col("t.v")).alias("v"))
-    return NdFrame(out.where((F.col("i0") >= 0) & (F.col("i0") < size)), (size,), a.dtype)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, x, y in zip((batch.column(0).to_numpy() + batch.column(1).to_numpy()) * BLOCK - low, batch.column(2), batch.column(3), strict=True):
+                v = np.convolve(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False))
+                i = np.arange(at, at + len(v))
+                inside = (i >= 0) & (i < size)
+                yield pa.RecordBatch.from_arrays([pa.array(i[inside]), pa.array(v[inside])], names=["i0", "v"])
+
+    parts = rows.select("block", "kernel_block", "cells", "taps").mapInArrow(work, "i0 long, v double")
+    return NdFrame(parts.groupBy("i0").agg(F.sum("v").alias("v")).select("i0", F.col("v").cast(SPARK[a.dtype])), (size,), a.dtype)
+
+
+def _blocks(a: NdFrame, number: str, name: str) -> DataFrame:
+    cells = F.array_sort(F.collect_list(F.struct("i0", F.col("v").cast("double").alias("v"))))
+    return a.df.groupBy(F.floor(F.col("i0") / BLOCK).alias(number)).agg(F.transform(cells, lambda c: c["v"]).alias(name))
 
 
 def correlate(a: NdFrame, kernel: NdFrame, mode: str = "valid") -> NdFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +10,16 @@ _LOCAL = 33
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Written to the folder that all executors share, so that partitions stay as they are when one is lost."""
+    """Written to the folder that all executors share, so that partitions stay as they are when one is lost.
+
+    Only a session without that setting on a single machine gets a folder of its own, in its warehouse.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return df.checkpoint(eager=True)
 
 
