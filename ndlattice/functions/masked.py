@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordered import positions
 from . import elementwise as E
 
 
@@ -26,6 +27,11 @@ class Masked(NamedTuple):
     def with_mask(self, mask: Column) -> Masked:
         return self._replace(mask=mask)
 
+    def compressed(self, df: DataFrame, *order: Column) -> DataFrame:
+        """i0, v: the unmasked values of df in an order, numbered."""
+        kept = df.where(~self.mask).select(self.data.alias("v"), *(o.alias(f"__o{k}") for k, o in enumerate(order)))
+        return positions(kept, *(F.col(f"__o{k}") for k in range(len(order)))).select("i0", "v")
+
     # aggregates: 0 where every value is masked
 
     def count(self) -> Column:

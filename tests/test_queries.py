@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from ndlattice.plans.queries import ORACLES, QUERIES
+from ndlattice.plans.extended import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
