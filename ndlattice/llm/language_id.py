@@ -1,7 +1,8 @@
 """Language identification by rank-order n-gram profiles.
 
 A profile is the list of a language's most frequent letter n-grams (one to three letters, words
-padded by a blank), most frequent first.  A document's own list is compared to each profile by
+padded by a blank), most frequent first.  A word is a run of letters and the marks that combine with
+them; digits, fractions, numerals and signs part words.  A document's own list is compared to each profile by
 the out-of-place distance: the sum over the document's n-grams of how far the ranks lie apart,
 with the profile's size for an n-gram that the profile lacks.
 
@@ -14,6 +15,8 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +31,28 @@ PROFILE = 400
 #: At most about so many training documents of each language (those with the smallest hash of doc_id) shape its profile.
 TRAIN_PER_LANG = 1500
 UND = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+
+#: Characters in which the plain expression for letters errs: numerals that are no digits, and marks that combine with letters.
+_ODD = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal() or unicodedata.category(c)[0] == "M")
+_PLAIN = re.compile(r"[^\W\d_]+")
 _BITS = 21
 _BLANK = ord(" ")
 
 
+def words(text: str) -> list[str]:
+    """Runs of letters and of the marks that combine with them; a run of marks alone is none."""
+    if _ODD.isdisjoint(text):
+        return _PLAIN.findall(text)
+    kept = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text)
+    return [w for w in kept.split() if any(map(str.isalpha, w))]
+
+
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram keys of a text and their counts; empty if it has no letter."""
-    words = _WORD.findall(text.lower())
-    if not words:
+    found = words(text.lower())
+    if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    a = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    a = np.frombuffer(f" {' '.join(found)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
     two = (a[:-1] << _BITS) | a[1:]
     three = (two[:-1] << _BITS) | a[2:]
     keys = np.concatenate([a[a != _BLANK], two, three[a[1:-1] != _BLANK]])

@@ -77,6 +77,47 @@ def test_odd_rows(spark, field):
         assert each is None or n == (docs.count() if each else n), name
 
 
+def test_odd_values(spark, field):
+    """What nulls, empty texts and texts without words give, operator by operator; equal texts give equal results."""
+    docs = frame(spark, ODD, extra=True)
+    nothing = [i for i, t in enumerate(ODD) if not (t or "").strip()]
+    out = {name: {r[0]: r for r in df.collect()} for name, df, each in everything(docs, field) if each}
+    empty = hashlib.sha256(b"").hexdigest()
+    for i in nothing:
+        assert (out["quality"][i]["score"], out["quality"][i]["keep"]) == (0.0, False)
+        assert (out["html"][i]["text"], out["html"][i]["n_chars"]) == ("", 0)
+        assert out["fingerprints"][i]["fingerprint"] == "----" * fingerprints.BINS and out["fingerprints"][i]["n_chars"] == len(ODD[i] or "")
+        assert (out["ngrams"][i]["class_id"], out["ngrams"][i]["n_links"]) == (0, 0)
+        assert (out["language"][i]["lang_pred"], out["language"][i]["score"]) == ("und", 0.0)
+        assert [out["secrets"][i][k] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")] == [0, 0, 0, empty, ""]
+        assert [out["licenses"][i][k] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")] == [0, 0, None, None, "", "", 0.0]
+        assert out["toxicity"][i]["score"] == out["toxicity"][0]["score"]
+    for name, rows in out.items():
+        if name not in ("leaks", "redact"):
+            one, two = (rows[i].asDict() for i in (4, 5))
+            same = set(one) - {"doc_id", "page_id", "row", "keep", "held_out", "edited_sha256", "edited_fingerprint", "near_edited", "near_next"}
+            assert [one[k] for k in same] == [two[k] for k in same], name
+    assert out["licenses"][8]["n_words"] == 20000 and out["fingerprints"][8]["n_chars"] == 100000
+    assert {r["doc_id"] for r in ngram_join.keep_one(docs).collect()} == {0, 3, 4, 7, 8}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["contract_op4", "contract_op6", "contract_op8", "contract_op9", "contract_op10", "op5_ngram_join"])
+def test_matches_sql(spark, name):
+    """What SQL can say of the queries, row by row."""
+    import duckdb
+    from ndlattice.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in want.description]
+    got = queries.QUERIES[name](spark, SF)
+    assert set(got.columns) == set(columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+
+
 def test_empty_tables(spark, field):
     for name, out, _ in everything(frame(spark, []), field):
         assert out.count() == 0, name
@@ -110,6 +151,31 @@ def brute_leak(doc, item, least=decontamination.LEAST_WORDS, share=decontaminati
     return best > 0
 
 
+def test_label_model():
+    """Accuracies of simulated labellers are found again, and one step of the iteration agrees with its definition in plain loops."""
+    r = random.Random(1)
+    true = [0.95, 0.9, 0.85, 0.8, 0.75, 0.9, 0.7, 0.9, 0.85]
+    counts = {}
+    for _ in range(40_000):
+        good = r.random() < 0.5
+        vote = tuple(quality.ABSTAIN if r.random() < 0.4 else int(good if r.random() < p else not good) for p in true)
+        counts[vote] = counts.get(vote, 0) + 1
+    model = quality.LabelModel(counts)
+    assert max(abs(model.accuracy - true)) < 0.03
+    accuracy = [0.85] * quality.LABELLERS
+    for _ in range(3):
+        posterior = {}
+        for vote in counts:
+            odds = 1.0
+            for v, p in zip(vote, accuracy, strict=True):
+                odds *= p / (1 - p) if v == quality.GOOD else (1 - p) / p if v == quality.BAD else 1
+            posterior[vote] = odds / (1 + odds)
+        for k in range(quality.LABELLERS):
+            right = sum(m * (posterior[v] if v[k] == quality.GOOD else 1 - posterior[v]) for v, m in counts.items() if v[k] != quality.ABSTAIN)
+            accuracy[k] = min(0.995, max(0.55, (right + 8.5) / (sum(m for v, m in counts.items() if v[k] != quality.ABSTAIN) + 10)))
+    assert quality.LabelModel(counts, steps=3).accuracy == pytest.approx(accuracy)
+
+
 def test_decontamination(spark):
     vocabulary = [f"w{i}" for i in range(400)]
     items = [" ".join(R.sample(vocabulary, n)) for n in (30, 20, 12, 10, 5, 2)]
@@ -394,8 +460,21 @@ def test_language(spark):
     got = language_id.identify(docs, language_id.learn(docs)).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(got) > 150 and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and 0 <= r["score"] <= 1 for r in got)
-    und = language_id.identify(frame(spark, ["123 !!", None, ""]), language_id.learn(docs)).collect()
-    assert {r["lang_pred"] for r in und} == {"und"}
+    model = language_id.learn(docs)
+    und = language_id.identify(frame(spark, ["123 !!", None, "", "\u00b2 \u00bd \u2460 \u2167", "\u0301\u0308", "__ 7_7"]), model).collect()
+    assert {(r["lang_pred"], r["score"]) for r in und} == {("und", 0.0)}
+    assert language_id.words("na\u0308he x\u00b2y 3a b_c \u0928\u092e\u0938\u094d\u0924\u0947") == ["na\u0308he", "x", "y", "a", "b", "c", "\u0928\u092e\u0938\u094d\u0924\u0947"]
+    # brute force: every prediction of the held-out fold by the distance as it is written down
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in got[:60]:
+        keys, counts = language_id.grams(texts[r["doc_id"]])
+        own = sorted(zip(keys.tolist(), counts.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[: model.size]
+        apart = {}
+        for j, lang in enumerate(model.langs):
+            rank = {k: n for k, n in zip(model.keys.tolist(), model.ranks[:-1, j].tolist(), strict=True) if n >= 0}
+            apart[lang] = sum(abs(rank[k] - i) if k in rank else model.size for i, (k, _) in enumerate(own))
+        best = min(sorted(apart), key=apart.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 - apart[best] / (model.size * len(own)))
 
 
 def test_profile_distance():
