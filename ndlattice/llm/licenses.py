@@ -17,6 +17,7 @@ scanned one by one; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -406,7 +407,7 @@ def rules() -> list[Rule]:
 
 
 class Rules:
-    """The rules behind their prefilter; built once in each worker."""
+    """The rules behind their prefilter."""
 
     def __init__(self, ordered: list[Rule] | None = None):
         self.rules = ordered if ordered is not None else rules()
@@ -451,6 +452,12 @@ class Rules:
         return [(s, e, self.rules[i]) for s, e, i in kept]
 
 
+@functools.cache
+def built() -> Rules:
+    """All rules, compiled once in each worker."""
+    return Rules()
+
+
 def lowered(text: str) -> str:
     """A-Z in lower case, every other character as it is."""
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
@@ -485,7 +492,7 @@ def scan(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Rules()
+        known = built()
         for batch in batches:
             for part in chunks(batch, "text"):
                 out: dict[str, list] = {f.name: [] for f in schema}
