@@ -9,8 +9,8 @@ The benchmark is the stated query set.  It is joined in blocks of bounded text,
 and met with all training rows, so the training texts are never shuffled.
 
 Defined cases: null and empty texts on either side match nothing; an item shorter than the masks
-matches only as a whole and verbatim; repeated rows and repeated items each give their rows; null
-ids are kept; empty tables give no rows; other columns are ignored (and kept by ``clean``).
+matches only as a whole and verbatim; repeated training rows each give their rows, equal rows of
+the benchmark count once, one text under several ids is an item of each; null ids are kept; empty tables give no rows; other columns are ignored (and kept by ``clean``).
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ class Index:
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
     """(item_id, text) of the benchmark in blocks of about so many characters."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("length(text) > 0")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("length(text) > 0").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-total // most)
     for i in range(parts):

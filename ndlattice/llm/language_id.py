@@ -137,7 +137,10 @@ def keep_identified(docs: DataFrame, model: Profiles, min_score: float = 0.02) -
     """The rows of docs, with all their columns, whose text has a language: not ``und`` and not as far from every profile as a text can be."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.names.index("text")).to_pylist()
-            yield batch.filter(pa.array([lang != UND and score >= min_score for lang, score in map(model.predict, texts)], pa.bool_()))
+            at, texts = 0, pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index("text"))], names=["text"])
+            for part in chunks(texts, "text"):
+                kept = [lang != UND and score >= min_score for lang, score in map(model.predict, part["text"])]
+                yield batch.slice(at, len(kept)).filter(pa.array(kept, pa.bool_()))
+                at += len(kept)
 
     return docs.mapInArrow(keep, docs.schema)
