@@ -18,23 +18,39 @@ from ndlattice.llm import decontamination, language_id, ngram_join, packing, sec
 from ndlattice.llm.common import settled, table
 
 
+#: Rows in one Arrow batch: whole texts can be long, and a batch of them lies in memory on both sides.
+BATCH_ROWS = 2000
+
+
+def _narrow(spark: SparkSession) -> None:
+    """Keep Arrow batches of this session to BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _narrow(spark)
     return language_id.keep_identified(docs, language_id.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _narrow(spark)
     return ngram_join.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _narrow(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _narrow(spark)
     return secrets.redact(docs, secrets.train())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _narrow(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
