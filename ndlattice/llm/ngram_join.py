@@ -52,7 +52,7 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     words = _WORD.findall((text or "").lower())
     if not words:
         return np.empty(0, np.uint64)
-    if len(_HASHES) > 500_000:
+    if len(_HASHES) > 100_000:
         _HASHES.clear()
     get, ids = _HASHES.get, []
     for w in words:

@@ -51,12 +51,12 @@ class Vocabulary:
         ranks = {bytes(byte[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in self.added}
         self.fast = tiktoken.Encoding("pack", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=self.added)
         self.names = set(self.added)
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
 
     def encode(self, text: str) -> list[int]:
         """The ids of tokenizers without added start and end tokens; the text of an added token is that token."""
         if len(text) >= LONG_RUN and max(map(len, _BLANKS.findall(text)), default=0) >= LONG_RUN:
-            return self.exact.encode(text, add_special_tokens=False).ids
+            return Tokenizer.from_file(self.path).encode(text, add_special_tokens=False).ids
         return self.fast.encode(text, allowed_special=self.names, disallowed_special=())
 
 

@@ -197,7 +197,7 @@ class Field:
 
     def decode(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """Character spans tagged as secrets in each text."""
-        if len(self.table) > 400_000 or self.used > 50_000:
+        if len(self.table) > 100_000 or self.used > 20_000:
             self._reset()
         get, ids, starts, biases = self.table.get, [0, 0, 0], [], []
         for text in texts:
