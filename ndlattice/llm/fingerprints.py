@@ -1,6 +1,7 @@
 """Document fingerprints by Order MinHash, in DataFrame functions only.
 
-A text's k-mers are its runs of k words, shorter ones at its end.  The o-th occurrence of a k-mer
+A text's k-mers are its runs of k words, shorter ones at its end; words stand between blanks, and a
+character of a script without blanks is a word of its own.  The o-th occurrence of a k-mer
 is told from its others by its number, so that a repeated passage weighs by how often it stands
 there.  A hash of k-mer and number deals the numbered k-mers over a fixed number of bins; each bin
 keeps the two least, puts them back into text order and hashes that pair.  Two texts are alike in
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import settled, shuffle_width
 
 K, BINS, EMPTY = 3, 64, -1
-_PLACE = 24  # bits of a word's place
+_PLACE = 24  # bits of a word's place; places of longer texts count from 0 again, which only blurs the order of their pairs
+#: Scripts written without blanks: Thai, Lao, Burmese, Khmer, kana, Chinese characters.
+_UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\p{IsHan}]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,8 +48,10 @@ def sketch(text: Column, k: int = K, bins: int = BINS) -> Column:
     """array<smallint>: for each bin the hash of its pair, 15 bits, or EMPTY."""
     place = (1 << _PLACE) - 1
     head = lambda v: F.shiftrightunsigned(v, _PLACE)
-    packed = lambda h, at: F.shiftleft(F.shiftrightunsigned(h, _PLACE + 1), _PLACE).bitwiseOR(at.cast("long"))
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    packed = lambda h, at: F.shiftleft(F.shiftrightunsigned(h, _PLACE + 1), _PLACE).bitwiseOR(at.cast("long").bitwiseAND(place))
+    given = F.coalesce(text, F.lit(""))
+    spaced = F.when(given.rlike(_UNSPACED), F.regexp_replace(given, f"({_UNSPACED})", " $1 ")).otherwise(given)
+    words = F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
 
     def kmers(a: Column) -> Column:
         return F.array_sort(F.transform(a, lambda w, i: packed(F.xxhash64(w, *(F.get(a, i + j) for j in range(1, k))), i)))
