@@ -34,8 +34,20 @@ PRIOR = 0.5
 _PLAIN = re.compile(r"[\w\s.,;:'\"()\-]+")
 
 
-def votes(text: str, tokens: list[str]) -> tuple[int, ...]:
-    """One vote of each labeller on a text with at least one token.
+WINDOW = 5  # words of a window
+
+
+def looping(tokens: list[str]) -> float:
+    """Share of a text's windows of WINDOW words that stood before in it, however long it is; 0 below 50 words."""
+    n = len(tokens) - WINDOW + 1
+    # a text of many different words has few repeated windows; n distinct windows hold at most n + WINDOW - 1 distinct words
+    if len(tokens) < 50 or len(set(tokens)) > 0.8 * len(tokens):
+        return 0.0
+    return 1 - len(set(zip(*(tokens[i:] for i in range(WINDOW)), strict=False))) / n
+
+
+def votes(text: str, tokens: list[str], loops: float) -> tuple[int, ...]:
+    """One vote of each labeller on a text with at least one token; loops: its looping(tokens).
 
     Each labeller but the last two knows one kind of junk and abstains where it sees none; those two know plain prose.
     """
@@ -43,7 +55,6 @@ def votes(text: str, tokens: list[str]) -> tuple[int, ...]:
     repeats = sum(map(str.__eq__, tokens, tokens[1:])) / n
     symbols = len(_PLAIN.sub("", text)) / chars
     ends = (text.count(". ") + text.count(".\n") + text.endswith(".")) / n
-    variety = len(set(tokens)) / n
     shouted = sum(map(str.isupper, tokens)) / n
     bad = lambda x: BAD if x else ABSTAIN
     good = lambda x: GOOD if x else ABSTAIN
@@ -53,10 +64,10 @@ def votes(text: str, tokens: list[str]) -> tuple[int, ...]:
         bad(shouted >= 0.5),
         bad(text.count("!") >= 0.3 * n),
         bad(text.count("|") >= 0.2 * n),
-        bad(50 <= n < 2000 and variety < 0.1),
+        bad(loops >= 0.5),
         bad(n < 4),
-        good(n >= 8 and repeats <= 0.05 and symbols <= 0.03 and shouted <= 0.15 and text.count("|") <= 0.02 * n),
-        good(0.01 <= ends <= 0.4 and symbols <= 0.03 and repeats <= 0.1),
+        good(n >= 8 and repeats <= 0.05 and loops <= 0.2 and symbols <= 0.03 and shouted <= 0.15 and text.count("|") <= 0.02 * n),
+        good(0.01 <= ends <= 0.4 and symbols <= 0.03 and repeats <= 0.1 and loops <= 0.2),
     )
 
 
@@ -103,7 +114,7 @@ def places(token: str) -> tuple[int, int]:
     return zlib.crc32(b"s" + _shape(token).encode("utf-8", "surrogatepass")) % DIM, zlib.crc32(b"w" + token.lower().encode("utf-8", "surrogatepass")) % DIM
 
 
-REPEAT = DIM  # place of the share of tokens that repeat the one before
+REPEAT, LOOP = DIM, DIM + 1  # places of the shares of tokens that repeat the one before, and of windows that stood before
 
 
 class Scorer:
@@ -117,7 +128,7 @@ class Scorer:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def score(self, tokens: list[str]) -> float:
+    def score(self, tokens: list[str], loops: float) -> float:
         if not tokens:
             return 0.0
         if len(self.known) > 500_000:
@@ -128,23 +139,23 @@ class Scorer:
             if w is None:
                 w = self.known[token] = float(sum(self.weights[i] for i in places(token)))
             total += n * w
-        z = self.base + (total + self.weights[REPEAT] * sum(map(str.__eq__, tokens, tokens[1:]))) / len(tokens)
+        z = self.base + (total + self.weights[REPEAT] * sum(map(str.__eq__, tokens, tokens[1:]))) / len(tokens) + self.weights[LOOP] * loops
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
 def fit(rows: list[tuple[list[int], list[float], float]], steps: int = 120) -> Scorer:
     """Logistic regression on (places, shares, wanted probability) by AdaGrad over all rows."""
     if not rows:
-        return Scorer(np.zeros(DIM + 1), 2.0)
+        return Scorer(np.zeros(DIM + 2), 2.0)
     at = np.concatenate([np.array(r[0], np.int64) for r in rows])
     x = np.concatenate([np.array(r[1]) for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     y = np.array([r[2] for r in rows])
-    w, g, base, gb = np.zeros(DIM + 1), np.full(DIM + 1, 1e-8), 1.0, 1e-8
+    w, g, base, gb = np.zeros(DIM + 2), np.full(DIM + 2, 1e-8), 1.0, 1e-8
     for _ in range(steps):
         z = base + np.bincount(owner, w[at] * x, len(rows))
         error = y - 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        step = np.bincount(at, error[owner] * x, DIM + 1) / len(rows) - 1e-6 * w
+        step = np.bincount(at, error[owner] * x, DIM + 2) / len(rows) - 1e-6 * w
         g += step**2
         w += 0.5 * step / np.sqrt(g)
         gb += error.mean() ** 2
@@ -159,14 +170,15 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[LabelModel, Scorer]:
         for batch in batches:
             for text in batch.column(0):
                 if tokens := (text.as_py() or "").split():
-                    total[votes(text.as_py(), tokens)] += 1
+                    total[votes(text.as_py(), tokens, looping(tokens))] += 1
         yield record(pa.schema([("votes", pa.string()), ("n", pa.int64())]), {"votes": ["".join(map(str, v)) for v in total], "n": [*total.values()]})
 
     counted = docs.select("text").mapInArrow(vote, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     model = LabelModel({tuple(map(int, r["votes"])): r["n"] for r in counted})
     n = sum(r["n"] for r in counted)
     share = F.xxhash64("doc_id", F.length("text")).bitwiseAND((1 << 30) - 1) / float(1 << 30)
-    sample = docs.where(share < rows / max(n, 1)).select("text")
+    # rows of one id and length are in or out together: equal ones train once
+    sample = docs.where(share < rows / max(n, 1)).select("doc_id", "text").distinct().select("text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("at", pa.list_(pa.int64())), ("x", pa.list_(pa.float64())), ("y", pa.float64())])
@@ -174,12 +186,13 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[LabelModel, Scorer]:
             out: dict[str, list] = {"at": [], "x": [], "y": []}
             for text in batch.column(0):
                 if tokens := (text.as_py() or "").split():
-                    own: Counter = Counter()
+                    own, loops = Counter(), looping(tokens)
                     for token, m in Counter(tokens).items():
                         for i in places(token):
                             own[i] += m / len(tokens)
                     own[REPEAT] = sum(map(str.__eq__, tokens, tokens[1:])) / len(tokens)
-                    for k, v in zip(out, ([*own], [*own.values()], model.posterior(votes(text.as_py(), tokens))), strict=True):
+                    own[LOOP] = loops
+                    for k, v in zip(out, ([*own], [*own.values()], model.posterior(votes(text.as_py(), tokens, loops))), strict=True):
                         out[k].append(v)
             yield record(schema, out)
 
@@ -201,9 +214,10 @@ def score(docs: DataFrame, model: LabelModel, scorer: Scorer, threshold: float =
                 out: dict[str, list] = {f.name: [] for f in schema}
                 for doc, text in zip(part["doc_id"], part["text"], strict=True):
                     tokens = (text or "").split()
-                    said, posterior = scorer.score(tokens), 0.0
+                    loops = looping(tokens)
+                    said, posterior = scorer.score(tokens, loops), 0.0
                     if tokens:
-                        pattern = votes(text, tokens)
+                        pattern = votes(text, tokens, loops)
                         posterior = known[pattern] if pattern in known else known.setdefault(pattern, model.posterior(pattern))
                     for k, v in zip(out, (doc, said, posterior, said >= threshold), strict=True):
                         out[k].append(v)

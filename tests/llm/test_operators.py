@@ -135,6 +135,32 @@ def test_quality(spark):
     assert sum(got[len(good) + i] for i in range(len(bad))) <= 2
 
 
+@pytest.mark.parametrize("words", [1_999, 2_000, 20_000])
+def test_quality_of_loops(spark, words):
+    """A text that cycles through a few lines is bad at any length, one of the same length that does not is good."""
+    lines = [prose(12).split() for _ in range(4)]
+    cycle = sum(lines, []) * (words // 48 + 1)
+    assert quality.looping(cycle[:words]) == pytest.approx(1 - 48 / (words - 4))
+    plain = [f"w{R.randrange(3000)}" for _ in range(words)]
+    assert quality.looping(plain) < 0.01
+    text = " ".join(cycle[:words])
+    assert quality.votes(text, text.split(), quality.looping(text.split()))[5] == quality.BAD
+    assert quality.GOOD not in quality.votes(text, text.split(), quality.looping(text.split()))
+    docs = frame(spark, [prose(60).capitalize() + ". " + prose(30).capitalize() + "." for _ in range(120)] + [" ".join(sum(([*prose(8).split()] * 12 for _ in range(1)), [])) for _ in range(40)] + [text])
+    got = {r["doc_id"]: r["keep"] for r in quality.score(docs, *quality.learn(docs)).collect()}
+    assert all(got[i] for i in range(120)) and not any(got[i] for i in range(120, 161))
+
+
+def test_quality_loops_gate():
+    """The shortcut of looping never hides a text whose windows mostly repeat."""
+    r = random.Random(3)
+    for _ in range(300):
+        tokens = [f"t{r.randrange(r.choice((3, 30, 80)))}" for _ in range(r.randrange(50, 90))]
+        tokens += tokens[: r.randrange(len(tokens))]
+        share = 1 - len({tuple(tokens[i : i + 5]) for i in range(len(tokens) - 4)}) / (len(tokens) - 4)
+        assert quality.looping(tokens) == pytest.approx(share) or share < 0.25
+
+
 def brute_leak(doc, item, least=decontamination.LEAST_WORDS, share=decontamination.LEAST_SHARE):
     """Every shift, every stretch: the most agreeing words of a stretch whose score is the best of its shift."""
     d, x = decontamination.words(doc), decontamination.words(item)
@@ -352,6 +378,19 @@ def test_fingerprints(spark):
         assert got[d]["near_edited"] == pytest.approx(sum(a == b for a, b in either) / len(either) if either else 1.0)
 
 
+def test_fingerprints_without_blanks(spark):
+    """A script without blanks is cut into characters, so that an edit leaves most of a sketch."""
+    import unicodedata
+
+    r = random.Random(2)
+    for first, n in ((0x4E00, 2000), (0x3041, 80), (0x0E01, 40)):
+        text = "".join(c for c in (chr(first + r.randrange(n)) for _ in range(600)) if unicodedata.category(c) == "Lo")
+        changed = text[:300] + "x" + text[301:]
+        rows = spark.createDataFrame([(text, changed, " ".join(text))], "a string, b string, c string")
+        near, spaced = rows.select(fingerprints.alike(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))), fingerprints.alike(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("c")))).first()
+        assert near > 0.8 and spaced == 1.0
+
+
 def brute_sketches(spark, pairs):
     from pyspark.sql import Window
 
