@@ -18,15 +18,17 @@ from ndlattice.llm import decontamination, language_id, ngram_join, packing, sec
 from ndlattice.llm.common import settled, table
 
 
-#: Rows in one Arrow batch: whole texts can be long, and a batch of them lies in memory on both sides.
-BATCH_ROWS = 2000
+#: Rows and bytes in one Arrow batch: whole texts can be long, and a batch of them lies in memory on both sides.
+BATCH_ROWS, BATCH_BYTES = 2000, 4_000_000
 
 
 def _narrow(spark: SparkSession) -> None:
-    """Keep Arrow batches of this session to BATCH_ROWS rows at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches of this session to BATCH_ROWS rows and about BATCH_BYTES bytes at most; a text goes whole into one."""
+    in_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most, number in (("maxRecordsPerBatch", BATCH_ROWS, int), ("maxBytesPerBatch", BATCH_BYTES, in_bytes)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < number(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -829,3 +830,26 @@ def test_pipeline(spark, tmp_path):
     assert sorted({r["doc_id"] for r in pieces}) == [0, 1, 6]
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, pieces))
+
+
+def test_pipeline_batch_bytes(spark):
+    """Long texts fill Arrow batches by their bytes, not by rows alone; a smaller limit of the session stays."""
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a"), 1_000_000).alias("text"))
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "held"])
+
+    try:
+        spark.conf.unset(key)
+        corpus_pipeline.near_duplicates(spark, frame(spark, ["a b"]), "")
+        got = docs.mapInArrow(size, "n long, held long").collect()
+        assert sum(r["n"] for r in got) == 40 and max(r["held"] for r in got) < 6_000_000
+        spark.conf.set(key, "1m")
+        corpus_pipeline._narrow(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
