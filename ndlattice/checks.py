@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -9,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .frame import NdFrame
+from .frame import NdFrame, matched
 from .functions import elementwise as E
 from .meta import broadcast_shapes, can_cast
 from .operators.reductions import allclose, array_equal
@@ -117,10 +118,10 @@ class MultiIter:
 
         self.shape = broadcast_shapes(*(a.shape for a in arrays))
         self.index = [f"i{k}" for k in range(len(self.shape))]
-        df = None
+        df, size = None, math.prod(self.shape)
         for j, a in enumerate(arrays):
             one = broadcast_to(a, self.shape).df.select(*self.index, F.col("v").alias(f"v{j}"))
-            df = one if df is None else df.join(one, self.index)
+            df = one if df is None else matched(df, one, self.index, size, size)
         self.df, self.count = df, len(arrays)
 
     def __iter__(self) -> Iterator[tuple]:

@@ -271,3 +271,13 @@ def test_large_frames_are_not_broadcast(spark):
     assert both.df.agg(F.count("*"), F.sum("v")).first()[:] == (2 * n, n * (n - 1) + n)
     few = shape.combine(wide, creation.from_rule(spark, (2, 1), lambda i, j: i.cast("double")), lambda x, y: x + y)
     assert _broadcasts(few.df) == 1 and few.df.agg(F.sum("v")).first()[0] == n * (n - 1) + n
+
+
+def test_large_operands_are_not_broadcast(spark):
+    n = 60_000
+    two = shape.broadcast_to(creation.from_rule(spark, (1, 2), lambda i, j: j + 1.0), (n, 2))
+    product = products.einsum("nj,nj->n", two, two)
+    assert _broadcasts(product.df) == 0
+    assert product.df.agg(F.count("*"), F.sum("v")).first()[:] == (n, 5.0 * n)
+    assert _broadcasts(products.cross(two, two).df) == 0
+    assert _broadcasts(linalg.lines(two, 1, np.dot, (), other=two, other_core=1).df) == 0
