@@ -121,3 +121,14 @@ def test_npz_files_are_written_in_parts(spark, tmp_path, monkeypatch):
     (tmp_path / "bad.npz").write_bytes(content)
     with pytest.raises(Exception, match="CRC"):
         binary.loadz(spark, str(tmp_path / "bad.npz"))["arr_0"].df.count()
+
+
+def test_npy_files_are_written_in_parts(spark, tmp_path, monkeypatch):
+    arrays = [np.array([[True, False], [False, True]]), np.array([250, 1], "uint8"), np.array([1.5, np.nan, -0.0], "float16"), np.array([1j, 2.0]), np.array(7.25), np.zeros((0, 3))]
+    frames = [from_numpy(spark, a) for a in arrays]
+    arrays.append(np.array([1 << 63, 5], "uint64"))
+    frames.append(NdFrame(spark.sql("SELECT * FROM VALUES (0L, cast(9223372036854775808 AS decimal(20, 0))), (1L, 5) t(i0, v)"), (2,), "uint64"))
+    monkeypatch.setattr(NdFrame, "to_numpy", _never)
+    for i, (a, frame) in enumerate(zip(arrays, frames, strict=True)):
+        binary.save(frame, str(tmp_path / f"{i}.npy"))
+        assert (tmp_path / f"{i}.npy").read_bytes() == binary.npy_bytes(a)
