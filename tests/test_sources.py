@@ -132,3 +132,12 @@ def test_npy_files_are_written_in_parts(spark, tmp_path, monkeypatch):
     for i, (a, frame) in enumerate(zip(arrays, frames, strict=True)):
         binary.save(frame, str(tmp_path / f"{i}.npy"))
         assert (tmp_path / f"{i}.npy").read_bytes() == binary.npy_bytes(a)
+
+
+def test_part_of_a_raw_file(spark, tmp_path, monkeypatch):
+    frame = NdFrame(spark.range(5000).repartition(5).select(F.col("id").alias("i0"), (F.col("id") / 3).alias("v")), (5000,))
+    monkeypatch.setattr(NdFrame, "to_numpy", _never)
+    binary.tofile(frame, str(tmp_path / "a.bin"))
+    part = binary.fromfile(spark, str(tmp_path / "a.bin"), "float64", 4995, 16)
+    assert part.shape == (4995,)
+    assert part.df.select((F.col("i0") + 2).alias("i0"), "v").exceptAll(frame.df).count() == 0 and part.df.count() == 4995
